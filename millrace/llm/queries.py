@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import consolidate, format_dups
+from millrace.llm import consolidate, format_dups, near_dups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_dups.collapse(_table(spark, sf_dir, "synth_records").select("id", "text"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text")).record_pairs()
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text")).groups()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.components(consolidate.record_links(_table(spark, sf_dir, "match_pairs"), _table(spark, sf_dir, "duplicates")))
 
