@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import consolidate, format_dups, near_dups
+from millrace.llm import consolidate, encoding, format_dups, near_dups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,5 +35,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.components(consolidate.record_links(_table(spark, sf_dir, "match_pairs"), _table(spark, sf_dir, "duplicates")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(_table(spark, sf_dir, "synth_records").select("id", "text")).select("id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(_table(spark, sf_dir, "synth_records").select("id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
