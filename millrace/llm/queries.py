@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import consolidate, encoding, format_dups, near_dups
+from millrace.llm import consolidate, encoding, format_dups, mixing, near_dups, packing, pii
+from millrace.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text")).groups()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pii.texts_of(_table(spark, sf_dir, "synth_records").select("id", "text"), _table(spark, sf_dir, "gate_results").select("gate_run_id", "reasons_histogram"))
+    return pii.find_items(texts, _table(spark, sf_dir, "name_list"))
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pii.texts_of(_table(spark, sf_dir, "synth_records").select("id", "text"), _table(spark, sf_dir, "gate_results").select("gate_run_id", "reasons_histogram"))
+    return pii.redact(texts, _table(spark, sf_dir, "name_list"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.components(consolidate.record_links(_table(spark, sf_dir, "match_pairs"), _table(spark, sf_dir, "duplicates")))
 
@@ -43,5 +54,23 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(_table(spark, sf_dir, "synth_records").select("id", "text"))
 
 
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, _table(spark, sf_dir, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, sf_dir), _table(spark, sf_dir, "pack_specs"))
+
+
+def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",))
+    return mixing.mix(sizes, _table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
