@@ -8,9 +8,9 @@ the shares really reached are reported.  A source's documents are all used
 method, so that tokens and documents of the extra uses are both balanced.  The
 flight phase runs inside partitions, moving the probabilities of three
 documents at a time along the null space of the two constraints; each source
-leaves at most two undecided documents per partition, which fly on together in
-fewer partitions until at most two per source remain, and those land by trying
-all outcomes.
+leaves two undecided documents and a reserve of ten per partition, which fly on
+together in fewer partitions until so many per source remain, and those land by
+trying all outcomes: the reserve makes up for a huge document among the last.
 
 Defined results: documents of sources without a target, or without a source,
 are used 0 times; a null text has no tokens and is never used; repeated ids
@@ -21,11 +21,11 @@ result or zero shares.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import random
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,15 +34,17 @@ from millrace.plans.staging import stage
 
 #: Undecided documents that one task takes in a later round.
 TASK_UNDECIDED = 50_000
+#: Documents of a source that each partition leaves for the landing, where 2 ** (RESERVE + 2) outcomes are tried.
+RESERVE = 10
 _EPS = 1e-9
 _SCHEMA = "doc_id long, source string, tokens long, base int, p double, state int"
 
 
-def _fly(ids: list[int], tokens: list[int], p: list[float], rng: random.Random) -> list[float]:
+def _fly(tokens: list[int], p: list[float], rng: random.Random) -> list[float]:
     """Flight phase with the constraints documents and tokens; at most two values stay fractional."""
     p = list(p)
     held: list[int] = []
-    for i in range(len(ids)):
+    for i in range(len(p)):
         if _EPS < p[i] < 1 - _EPS:
             held.append(i)
         while len(held) == 3:
@@ -63,7 +65,13 @@ def _fly(ids: list[int], tokens: list[int], p: list[float], rng: random.Random)
 def _land(tokens: list[int], p: list[float]) -> list[float]:
     """The outcome of the last undecided documents that keeps tokens, then documents, closest to their expectation."""
     want, number = sum(t * v for t, v in zip(tokens, p)), sum(p)
-    return list(min(itertools.product((0.0, 1.0), repeat=len(p)), key=lambda o: (abs(sum(t * v for t, v in zip(tokens, o)) - want), abs(sum(o) - number))))
+    outcomes = ((np.arange(1 << len(p))[:, None] >> np.arange(len(p))) & 1).astype(float)
+    off = np.abs(outcomes @ np.array(tokens, float) - want) / max(1.0, float(np.median(tokens)) if tokens else 1.0)
+    return list(outcomes[int(np.argmin(off + 0.05 * np.abs(outcomes.sum(1) - number)))])
+
+
+def _order(seed: int, doc: int) -> bytes:
+    return hashlib.blake2b(f"{seed}/{doc}".encode(), digest_size=8).digest()
 
 
 def _round(seed: int, last: bool):
@@ -72,14 +80,16 @@ def _round(seed: int, last: bool):
         held: dict[str, list[tuple[int, int, int, float]]] = defaultdict(list)
 
         def settle(source: str, final: bool) -> list[tuple]:
-            rows = sorted(held[source], key=lambda r: (-r[1], r[0]))  # small documents stay for the landing
+            rows = sorted(held[source], key=lambda r: _order(seed, r[0]))
+            if not rows:
+                return []
             ids, tokens, p = [r[0] for r in rows], [r[1] for r in rows], [r[3] for r in rows]
-            rng = random.Random(int.from_bytes(hashlib.blake2b(f"{seed}/{source}/{ids[:1]}".encode(), digest_size=8).digest(), "big"))
-            p = _fly(ids, tokens, p, rng)
+            rng = random.Random(int.from_bytes(_order(seed, ids[0]), "big"))
+            p = [*p[:RESERVE], *_fly(tokens[RESERVE:], p[RESERVE:], rng)]
             if final and last:
                 open_ = [i for i, v in enumerate(p) if 0 < v < 1]
                 for i, v in zip(open_, _land([tokens[i] for i in open_], [p[i] for i in open_])):
-                    p[i] = v
+                    p[i] = float(v)
             done = [(r[0], source, r[1], r[2] + int(v), 0.0, 1) for r, v in zip(rows, p) if v in (0.0, 1.0)]
             held[source] = [(r[0], r[1], r[2], v) for r, v in zip(rows, p) if v not in (0.0, 1.0)]
             return done

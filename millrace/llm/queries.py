@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import consolidate, encoding, format_dups, mixing, near_dups, packing, pii
+from millrace.llm import consolidate, encoding, format_dups, mixing, near_dups, packing, pii, stuffing
 from millrace.llm.tokens import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,5 +72,9 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
