@@ -47,9 +47,13 @@ _MARKDOWN = re.compile(r"\[([^\]\n]{0,120})\]\(([^)\s]*)\)")
 _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>", re.I | re.S)
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+(?=\S)")
-_DELIMITER = re.compile(r"[,|/•·;#~*]|::| - |–|—|\s>\s|»|›")
-_CODE = re.compile(r"[(){}=\[\]<>_]|\w\.\w+\(|^\s*(?:import|from|def|class|return|try|except|for|while|if|else|with|assert|raise|yield)\b|^\s*[@#]")
-_ENDS = re.compile(r"[.!?…:;][\"”»’)]*\s*$")
+_DOTTED = re.compile(r"\.\w")
+_DIGIT = re.compile(r"\d")
+_DELIMITERS = (",", "|", "/", "•", "·", ";", "#", "~", "*", "::", " - ", "–", "—", " > ", "»", "›")
+_CODE_SIGN = re.compile(r"[(){}=\[\]<>_]")
+_CODE_START = re.compile(r"\s*(?:[@#]|(?:import|from|def|class|return|try|except|for|while|if|else|with|assert|raise|yield)\b)")
+_CLOSERS = " \t\"”»’)"
+_STOPS = (".", "!", "?", "…", ":", ";")
 _HASHTAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
 _SKU = re.compile(r"\bSKU\w*|\b[A-Z]{2,4}-?\d{4,}\b|-\d{1,2}%|[$€£]\s?\d")
 _LEAD = re.compile(r"^\s*(?:[-*•–·+]|\d+[.)])\s+")
@@ -110,24 +114,25 @@ class Line:
             rest = _MARKDOWN.sub(caption, rest)
         if "<a" in rest or "<A" in rest:
             rest = _ANCHOR.sub(caption, rest)
-        if "." in rest or "//" in rest:
+        if "//" in rest or _DOTTED.search(rest):
             rest, n = _URL.subn(" ", rest)
             urls += n
         words = _WORD.findall(rest)
         norm = _NORMS
         self.tokens = [norm[w] for w in words]
+        closed = text.rstrip(_CLOSERS).endswith(_STOPS)
         self.size = len(words) + linked + urls
         self.links = (linked + urls) / self.size if self.size else 0.0
-        if urls and not linked and len(words) <= 6 * urls and not _ENDS.search(text):
+        if urls and not linked and len(words) <= 6 * urls and not closed:
             self.links = 1.0  # a bare link with its caption before or after it
         n = max(1, len(words))
-        figures = any(map(str.isdigit, text))
+        figures = bool(_DIGIT.search(text))
         self.digits = sum(map(str.isdigit, words)) / n if figures else 0.0
         self.hashtags = len(_HASHTAG.findall(text)) / n if "#" in text else 0.0
-        self.seps = len(_DELIMITER.findall(rest)) / n
-        self.code = bool(_CODE.search(rest)) and not self.hashtags
+        self.seps = sum(map(rest.count, _DELIMITERS)) / n
+        self.code = not self.hashtags and bool(_CODE_SIGN.search(rest) or _CODE_START.match(rest))
         first = text.lstrip(" \t\"“«‘'(>").lstrip("¿¡")[:1]
-        self.ends = 2 * bool(_ENDS.search(text)) + (first.isupper() or first.isdigit())
+        self.ends = 2 * closed + (first.isupper() or first.isdigit())
         self.lead = bool(_LEAD.match(text))
         self.sku = figures and bool(_SKU.search(text))
         self.meta = (":" in text or "=" in text) and bool(_META.search(text))
@@ -173,6 +178,8 @@ class Model:
         if not seen:
             return []
         emit = self._emit
+        if all(map(self._prosaic, seen)):
+            return [PROSE] * len(seen)
         best = self.start_list + emit(seen[0])
         back = []
         for row in seen[1:]:
@@ -193,11 +200,22 @@ class Model:
             held = self.cache[row] = sum(w * t[f] for w, t, f in zip(WEIGHTS, self.logs, row))
         return held
 
+    def _prosaic(self, row: tuple[int, ...]) -> bool:
+        """Prose leads by more than any change of state could gain; a page of such lines is all prose."""
+        held = self.plain.get(row)
+        if held is None:
+            e = self._emit(row)
+            held = self.plain[row] = bool(e[PROSE] - np.delete(e, PROSE).max() > self.gain)
+        return held
+
     def freeze(self) -> Model:
         self.logs = [np.log(t) for t in self.tables]
         self.start_list = np.log(self.start)
         self.moves = np.log(self.move)
         self.cache: dict[tuple[int, ...], np.ndarray] = {}
+        self.plain: dict[tuple[int, ...], bool] = {}
+        stay = self.moves[PROSE, PROSE]
+        self.gain = max(0.0, float(self.moves.max() - stay)) + max(0.0, float(self.start_list.max() - self.start_list[PROSE])) + 0.01
         return self
 
     def share(self, text: str) -> float:
