@@ -42,10 +42,14 @@ def normalize(text: Column, mode: str = "whitespace") -> Column:
 
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct word n-grams; a shorter text is one shingle, a blank text has none."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
-    short = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(w, " ")))
-    return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(short)
+
+    def grams(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        short = F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(w, " ")))
+        return F.when(F.size(w) >= size, F.array_distinct(runs)).otherwise(short)
+
+    # Bound as a lambda variable, the words are split once per text, not once per shingle.
+    return F.element_at(F.transform(F.array(words(text)), grams), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
