@@ -32,6 +32,8 @@ BINS = 256
 DEPTH = 3
 #: Containers of the plan may lack so many bins, beside what rounding up to bins takes.
 WINDOW = 1
+#: What rounding and short supply leave of one least-squares plan is planned again, so often at most.
+PASSES = 3
 
 
 def combinations(bins: int, depth: int, window: int) -> list[tuple[int, ...]]:
@@ -103,6 +105,19 @@ def plan_bins(counts: np.ndarray, depth: int = DEPTH, window: int = WINDOW) -> l
     ``counts[b]`` is the number of items of bin ``b``; bin 0 is unused.
     """
     bins = len(counts) - 1
+    left, plan = counts.copy(), []
+    for _ in range(PASSES):
+        found = _plan_once(left, bins, depth, window)
+        plan += found
+        if sum(len(c) * r for c, r in found) < 0.05 * left.sum():
+            break
+        for c, r in found:
+            for b in c:
+                left[b] -= r
+    return plan
+
+
+def _plan_once(counts: np.ndarray, bins: int, depth: int, window: int) -> list[tuple[tuple[int, ...], int]]:
     present = counts > 0
     combos = [c for c in combinations(bins, depth, window) if all(present[b] for b in c)]
     if not combos:

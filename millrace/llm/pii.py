@@ -217,7 +217,7 @@ class Finder:
             yield m.span()
 
     def _like_family(self, word: str) -> bool:
-        return word in self.family or len(word) > 4 and word.endswith(self.family_ends)
+        return word in self.family or len(word) > 4 and word.endswith(self.family_ends) and word not in self.family_ends
 
     def _like_given(self, word: str) -> bool:
         return word in self.given or len(word) > 3 and word.endswith(self.given_ends)

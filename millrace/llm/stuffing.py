@@ -295,7 +295,7 @@ def train(texts: list[str], rounds: int = ROUNDS) -> Model:
     pages = [Page(t) for t in texts]
     spread: Counter[str] = Counter()
     for page in pages:
-        spread.update(page.counts.keys())
+        spread.update({t for line in page.lines if line.ends == 3 and line.size >= 5 and line.links == 0 for t in line.tokens})
     glue = {w for w, n in spread.items() if n >= max(3, 0.12 * len(pages)) and not w.isdigit()}
     words = [Counter() for _ in STATES]
     sure = []
