@@ -73,7 +73,7 @@ _ID_CUE = re.compile(
     r"(?:ssn|social\s+security|national\s+id|\bid|identity|tax\s+id|insurance|passport|nino|taxpayer)(?:\s*(?:no|number|card|code|is|nr))*\W{0,4}(?:is\s)?$", re.I
 )
 _EN_STREET = re.compile(
-    rf"(?<![\w.,/#-])(?P<n>\d{{1,5}}\s?[a-z]?),?\s+(?P<name>(?:(?:[nsew]|[ns][ew]|north|south|east|west|upper|lower|old|new|great|little|saint|st)\.?\s+){{0,2}}{_WORD}(?:\s{_WORD}){{0,2}}?)\s+(?P<t>{'|'.join(STREET_TYPES)})\b",
+    rf"(?<![\w.,/#-])(?P<n>\d{{1,5}}[^\S\n]?[a-z]?),?[^\S\n]+(?P<name>(?:(?:[nsew]|[ns][ew]|north|south|east|west|upper|lower|old|new|great|little|saint|st)\.?\s+){{0,2}}{_WORD}(?:\s{_WORD}){{0,2}}?)\s+(?P<t>{'|'.join(STREET_TYPES)})\b",
     re.I,
 )
 _FR_STREET = re.compile(rf"(?<![\w.,/#-])\d{{1,5}}\s?(?:[a-d]|bis|ter)?,?\s+(?:{'|'.join(STREET_PREFIXES)})\s+(?:(?:de|du|des|de la|la|del|della)\s)?{_WORD}", re.I)
@@ -184,6 +184,8 @@ class Finder:
             words = name.split()
             if any(w.lower() in ("of", "and", "the", "to", "in", "for", "a", "or", "on", "from", "with", "more", "hours", "days", "minutes", "other") for w in words):
                 continue
+            if len({w[0].isupper() for w in words}) > 1:
+                continue
             cue = _STREET_CUE.search(text, max(0, m.start() - 24), m.start())
             capital = words[-1][:1].isupper() and m["t"][:1].isupper()
             if not (capital or cue or kind in PLAIN_TYPES and kind not in ("way", "close", "drive", "court", "lane")):
