@@ -351,10 +351,12 @@ def sample_texts(documents: DataFrame, id_col: str, text_col: str, pages: int) -
 
 def list_shares(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """(doc_id, list_share): share of each page's words in link lists, tag lists and menus."""
-    held = documents.sparkSession.sparkContext.broadcast(train(sample_texts(documents, id_col, text_col, training_pages)))
+    trained = train(sample_texts(documents, id_col, text_col, training_pages))
+    # Plain data is broadcast; the model is rebuilt from it, so executors need no package of ours.
+    held = documents.sparkSession.sparkContext.broadcast((trained.glue, trained.lexicon, trained.tables, trained.start, trained.move))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = Model(*held.value).freeze()
         for batch in batches:
             shares = [model.share(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=[id_col, "list_share"])
