@@ -185,7 +185,8 @@ def near_dup_pairs(spark, d):
 def jaccard_pairs(spark, d):
     """Exact similarity of each accepted match of two records."""
     r = records(spark, d).where("id is not null").dropDuplicates(["id"]).select("id", T.shingles(F.col("text"), 5).alias("s"))
-    m = table(spark, d, "match_pairs").where("id_a < id_b and similarity >= 0.5").select("id_a", "id_b").distinct()
+    m = table(spark, d, "match_pairs").where("id_a <> id_b and similarity >= 0.5")
+    m = m.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
     both = m.join(r.select(F.col("id").alias("id_a"), F.col("s").alias("x")), "id_a").join(r.select(F.col("id").alias("id_b"), F.col("s").alias("y")), "id_b")
     return both.select("id_a", "id_b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
 
