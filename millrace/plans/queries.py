@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.config import DedupConfig, GateConfig, ShardConfig
 from millrace.functions import text as T
 from millrace.operators import asof, dedup, gate, lineage, ordering, profile, rules, scoring, sharding
+from millrace.plans.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,13 +397,19 @@ def removed_flag(spark, d):
     return scoring.flag(r, gate.quarantined(gate.annotate(r, CFG))).select("id", "removed")
 
 
+def _universe(spark, d):
+    """Bronze without quarantine."""
+    r = records(spark, d)
+    return stage(gate.exclude_quarantined(r, gate.quarantined(gate.annotate(r, CFG))).select("id", "text", "gt_kind", "gt_dup_of"), "universe")
+
+
 @query
 def score_dedup(spark, d):
-    r = records(spark, d)
-    gone = dedup.exact_groups(r, NEAR)
-    named = r.select("id", "gt_dup_of", F.sha2(T.normalize(F.col("text")), 256).alias("text_sha")).join(gone, "text_sha", "left")
-    flagged = named.withColumn("removed", F.col("survivor").isNotNull() & (F.col("survivor") != F.col("id")))
-    return scoring.confusion(flagged, F.col("gt_dup_of").isNotNull(), F.col("removed"))
+    """Exact and near deduplication of bronze without quarantine, against the labels."""
+    u = _universe(spark, d)
+    flagged = stage(scoring.flag(u, dedup.removed(dedup.clusters(u, NEAR))), "flagged")
+    score = scoring.confusion(flagged, F.col("gt_dup_of").isNotNull(), F.col("removed"))
+    return score.crossJoin(scoring.unlabeled_exact_copies(flagged, "removed"))  # one row each
 
 
 # --- sets, order, catalog -------------------------------------------------

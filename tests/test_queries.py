@@ -8,3 +8,19 @@ def test_jaccard_of_matches_stored_in_either_order(spark, tmp_path):
     spark.createDataFrame(rows, "id_a string, id_b string, similarity double").write.parquet(f"{tmp_path}/match_pairs.parquet")
     got = {(r.id_a, r.id_b): r.similarity for r in QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"): 0.666667, ("a", "c"): 1.0}
+
+
+WORDS = [f"word{i}" for i in range(40)]
+EDITED = [*WORDS[:39], "edited"]
+#: A text, an exact copy and an edited copy (labelled), an exact copy without a label, a lone text with a wrong label, quarantined copies.
+LABELLED = [
+    ("1", " ".join(WORDS), None, None), ("2", " ".join(WORDS), "exact_dup", "1"), ("3", " ".join(EDITED), "near_dup", "1"), ("4", " ".join(WORDS), None, None),
+    ("5", "a text of its own without any copy", "near_dup", "9"), ("6", "too short", None, None), ("7", "too short", "exact_dup", "6"),
+]
+
+
+def test_score_dedup_counts_near_copies_outside_quarantine(spark, tmp_path):
+    spark.createDataFrame(LABELLED, "id string, text string, gt_kind string, gt_dup_of string").write.parquet(f"{tmp_path}/synth_records.parquet")
+    s = QUERIES["score_dedup"](spark, str(tmp_path)).first()
+    assert (s.tp, s.fp, s.fn, s.tn, s.fp_unlabeled_exact) == (2, 1, 1, 1, 1)
+    assert (s.precision, s.recall) == (0.6667, 0.6667)
