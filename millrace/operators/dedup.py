@@ -98,7 +98,11 @@ def clusters(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     kind: ``kept``, ``exact`` (same normalized text as the survivor) or ``near``.
     """
     cfg = cfg or DedupConfig()
-    reps, pairs = near_pairs(df, cfg)
+    return grouped(df, *near_pairs(df, cfg), cfg)
+
+
+def grouped(df: DataFrame, reps: DataFrame, pairs: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """The clusters of ``df`` by these pairs of representatives."""
     roots = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), "root")
     of_text = reps.join(roots, "rep", "left").select("norm", "rep", F.coalesce("root", "rep").alias("survivor"))
     rows = df.where(F.col(cfg.id_column).isNotNull()).select(F.col(cfg.id_column).cast("string").alias("id"), normalize(F.col(cfg.text_column), cfg.normalize).alias("norm"))

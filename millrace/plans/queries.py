@@ -238,13 +238,6 @@ def dedup_summary(spark, d):
     return dedup.summary(p, dedup.clusters(p, NEAR))
 
 
-@query
-def dedup_threshold_sweep(spark, d):
-    _, pairs = dedup.near_pairs(pages(spark, d), NEAR)
-    levels = F.explode(F.array(*[F.lit(t) for t in (0.8, 0.85, 0.9, 0.95)]))
-    return pairs.select(levels.alias("threshold"), "similarity").where("similarity >= threshold").groupBy("threshold").agg(F.count("*").alias("pairs"))
-
-
 # --- profiles and drift ---------------------------------------------------
 
 
@@ -412,6 +405,26 @@ def score_dedup(spark, d):
     return score.crossJoin(scoring.unlabeled_exact_copies(flagged, "removed"))  # one row each
 
 
+@query
+def dedup_threshold_sweep(spark, d):
+    """Per threshold: pairs, removed records, and the score of the removal with the recall of each labelled kind."""
+    u = _universe(spark, d)
+    reps, pairs = dedup.near_pairs(u, NEAR)  # once; NEAR has the least threshold
+    out = None
+    for t in (0.8, 0.85, 0.9, 0.95):
+        close = pairs.where(F.col("similarity") >= t)
+        gone = stage(dedup.removed(dedup.grouped(u, reps, close, NEAR)), "gone")
+        flagged = stage(scoring.flag(u, gone), "flagged")
+        of = lambda kind: F.coalesce(F.sum((F.col("kind") == kind).cast("long")), F.lit(0)).alias(f"removed_{kind}")
+        counts = gone.agg(F.countDistinct("id").alias("removed"), of("exact"), of("near"))
+        kinds = scoring.by_kind(flagged.where("gt_dup_of is not null"), "removed").select(F.concat_ws("=", "kind", F.format_string("%.4f", "rate")).alias("k"))
+        kinds = kinds.agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("recall_by_kind"))
+        score = scoring.confusion(flagged, F.col("gt_dup_of").isNotNull(), F.col("removed"))
+        row = close.agg(F.lit(t).alias("threshold"), F.count("*").alias("pairs")).crossJoin(counts).crossJoin(score).crossJoin(kinds)  # one row each
+        out = row if out is None else out.union(row)
+    return out
+
+
 # --- sets, order, catalog -------------------------------------------------
 
 

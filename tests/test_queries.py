@@ -24,3 +24,13 @@ def test_score_dedup_counts_near_copies_outside_quarantine(spark, tmp_path):
     s = QUERIES["score_dedup"](spark, str(tmp_path)).first()
     assert (s.tp, s.fp, s.fn, s.tn, s.fp_unlabeled_exact) == (2, 1, 1, 1, 1)
     assert (s.precision, s.recall) == (0.6667, 0.6667)
+
+
+def test_threshold_sweep_groups_and_scores(spark, tmp_path):
+    spark.createDataFrame(LABELLED, "id string, text string, gt_kind string, gt_dup_of string").write.parquet(f"{tmp_path}/synth_records.parquet")
+    rows = {r.threshold: r for r in QUERIES["dedup_threshold_sweep"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [0.8, 0.85, 0.9, 0.95]
+    low, high = rows[0.8], rows[0.95]  # the edited copy has a similarity of 35/37
+    assert (low.pairs, low.removed, low.removed_exact, low.removed_near) == (1, 3, 2, 1)
+    assert (low.tp, low.fp, low.fn, low.tn, low.recall, low.recall_by_kind) == (2, 1, 1, 1, 0.6667, "exact_dup=1.0000,near_dup=0.5000")
+    assert (high.pairs, high.removed, high.removed_near, high.recall, high.recall_by_kind) == (0, 2, 0, 0.3333, "exact_dup=1.0000,near_dup=0.0000")
