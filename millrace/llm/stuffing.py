@@ -6,11 +6,19 @@ ingredients, changelogs), link list, tag list and menu labels the lines; a page
 is flagged when more than half of its words lie in link lists, tag lists and
 menus.
 
-The model is trained here on a bounded sample (``TRAINING_PAGES``): lines that
-a strict rule labels beyond doubt give first emission tables and a lexicon of
-words that set lists apart from prose; Viterbi training on all sampled lines
-then refines emissions and transitions.  No sample limits what is labelled:
-every line of every page is.
+Three passes over all pages, each in Arrow batches without a row per word:
+
+1. glue words: words on a share ``GLUE`` of all pages, counted on whole sentences;
+2. lexicon: how much oftener a word stands in lists than in other lines, counted
+   on every line that a strict rule labels beyond doubt.  Words share ``BUCKETS``
+   hashed counters, which bounds the table whatever the vocabulary;
+3. labels: Viterbi paths of all pages, and the share of words in lists.
+
+Only emissions and transitions are fitted to a bounded sample
+(``TRAINING_PAGES``): from the lines beyond doubt at first, then by Viterbi
+training on all sampled lines.  Every state but prose starts from ``RULED`` lines
+that obey its rule, so that no state is missing where the sample has no such
+line.
 
 Defined results: a null id is ignored, a null or empty text is not flagged,
 repeated rows count once, an empty table gives an empty result.
@@ -20,9 +28,8 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,333 +39,499 @@ from pyspark.sql import functions as F
 TRAINING_PAGES = 2_500
 ROUNDS = 2
 LONG = 220
+#: Words of one piece of a long line without sentence ends.
+PIECE_WORDS = 30
+GLUE = 0.12
+BUCKETS = 1 << 20
 STATES = ("prose", "code", "figures", "link", "tag", "menu")
 PROSE, CODE, FIGURES, LINK, TAG, MENU = range(6)
-#: Pseudo-counts of the emissions of all lines in each state.
+#: Pseudo-counts of the emissions of all lines in each state, and of lines that obey the rule of a state.
 PRIOR = 0.1
-#: A state with fewer sure lines than this in the sample is left out.
-LEAST_LINES = 20
+RULED = 5.0
+#: Lexicon entries rest on so many lines at least.
+LEAST_LINES = 4
+_CHUNK = 1_000_000
 
 #: Words of site navigation, for the first labels of the menu state.
-MENU_WORDS = set("home about contact login logout register menu search sitemap privacy terms cookies cookie subscribe newsletter rights reserved imprint help faq shop cart account back next top share".split())
+MENU_WORDS = "home about contact login logout register menu search sitemap privacy terms cookies cookie subscribe newsletter rights reserved imprint help faq shop cart account back next top share".split()
+#: Words that begin a line of code.
+CODE_WORDS = "import from def class return try except for while if else with assert raise yield".split()
 
+#: Signs that stand for links once their text has been taken out.
+OPEN, CLOSE, BARE = "\ue000", "\ue001", "\ue002"
 _URL = re.compile(r"(?:https?:)?//[^\s)\]>\"']+|www\.[^\s)\]>\"']+|(?<![\w@.])[a-z0-9-]{3,}(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|example|test|invalid|[a-z]{2})(?:/[^\s)\]>\"']*)?(?![\w(])", re.I)
 _MARKDOWN = re.compile(r"\[([^\]\n]{0,120})\]\(([^)\s]*)\)")
 _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>", re.I | re.S)
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+(?=\S)")
 _DOTTED = re.compile(r"\.\w")
-_DIGIT = re.compile(r"\d")
-_DELIMITERS = (",", "|", "/", "•", "·", ";", "#", "~", "*", "::", " - ", "–", "—", " > ", "»", "›")
-_CODE_SIGN = re.compile(r"[(){}=\[\]<>_]")
-_CODE_START = re.compile(r"\s*(?:[@#]|(?:import|from|def|class|return|try|except|for|while|if|else|with|assert|raise|yield)\b)")
-_CLOSERS = " \t\"”»’)"
-_STOPS = (".", "!", "?", "…", ":", ";")
-_HASHTAG = re.compile(r"(?:^|\s)#[^\W\d_]\w*")
-_SKU = re.compile(r"\bSKU\w*|\b[A-Z]{2,4}-?\d{4,}\b|-\d{1,2}%|[$€£]\s?\d")
-_LEAD = re.compile(r"^\s*(?:[-*•–·+]|\d+[.)])\s+")
-_META = re.compile(r"<meta\b[^>]*(?:keywords|content)|\bkeywords?\s*[:=]|^\s*(?:tags|labels|keywords)\s*:", re.I)
-
-
-def lines_of(text: str) -> list[str]:
-    """Lines, long ones cut into sentences and runs of words."""
-    found = []
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        if len(line) <= LONG:
-            found.append(line)
-            continue
-        for part in _SENTENCE.split(line):
-            while len(part) > LONG:
-                cut = part.rfind(" ", LONG // 2, LONG)
-                cut = cut if cut > 0 else LONG
-                found.append(part[:cut])
-                part = part[cut:]
-            if part.strip():
-                found.append(part)
-    return found
-
-
-class _Norms(dict):
-    """Words without case, hyphens and plural s."""
-
-    def __missing__(self, word: str) -> str:
-        low = word.lower().replace("-", "")
-        low = low[:-1] if len(low) > 3 and low.endswith("s") else low
-        if len(self) < 200_000:
-            self[word] = low
-        return low
-
-
-_NORMS = _Norms()
-
-
-class Line:
-    """What a line shows, before the lexicon is known."""
-
-    __slots__ = ("code", "digits", "ends", "hashtags", "lead", "links", "menu", "meta", "seps", "size", "sku", "tokens")
-
-    def __init__(self, text: str) -> None:
-        linked = 0
-        urls = 0
-
-        def caption(m: re.Match) -> str:
-            nonlocal linked, urls
-            linked += len(_WORD.findall(m[1]))
-            urls += 1
-            return " "
-
-        rest = text
-        if "](" in rest:
-            rest = _MARKDOWN.sub(caption, rest)
-        if "<a" in rest or "<A" in rest:
-            rest = _ANCHOR.sub(caption, rest)
-        if "//" in rest or _DOTTED.search(rest):
-            rest, n = _URL.subn(" ", rest)
-            urls += n
-        words = _WORD.findall(rest)
-        norm = _NORMS
-        self.tokens = [norm[w] for w in words]
-        closed = text.rstrip(_CLOSERS).endswith(_STOPS)
-        self.size = len(words) + linked + urls
-        self.links = (linked + urls) / self.size if self.size else 0.0
-        if urls and not linked and len(words) <= 6 * urls and not closed:
-            self.links = 1.0  # a bare link with its caption before or after it
-        n = max(1, len(words))
-        figures = bool(_DIGIT.search(text))
-        self.digits = sum(map(str.isdigit, words)) / n if figures else 0.0
-        self.hashtags = len(_HASHTAG.findall(text)) / n if "#" in text else 0.0
-        self.seps = sum(map(rest.count, _DELIMITERS)) / n
-        self.code = not self.hashtags and bool(_CODE_SIGN.search(rest) or _CODE_START.match(rest))
-        first = text.lstrip(" \t\"“«‘'(>").lstrip("¿¡")[:1]
-        self.ends = 2 * closed + (first.isupper() or first.isdigit())
-        self.lead = bool(_LEAD.match(text))
-        self.sku = figures and bool(_SKU.search(text))
-        self.meta = (":" in text or "=" in text) and bool(_META.search(text))
-        self.menu = len(MENU_WORDS.intersection(self.tokens)) / n if self.size <= 12 else 0.0
-
-
-class Page:
-    """The lines of a page and how much they repeat each other's words."""
-
-    def __init__(self, text: str) -> None:
-        self.lines = [Line(t) for t in lines_of(text)]
-        self.lines = [line for line in self.lines if line.size]
-        counts = Counter(t for line in self.lines for t in line.tokens)
-        self.counts = counts
-        self.total = sum(counts.values())
-        self.need = max(3, 0.07 * self.total)
-
-    def repeated(self, line: Line, glue: set[str]) -> float:
-        words = [t for t in line.tokens if len(t) > 2 and t not in glue and not t.isdigit()]
-        if not words:
-            return 0.0
-        return sum(self.counts[t] >= self.need for t in words) / len(words)
-
-
-_COLUMNS = np.arange(len(STATES))
-
 
-class Model:
-    """Hidden Markov model over lines with independent discrete emissions."""
-
-    def __init__(self, glue: set[str], lexicon: dict[str, float], tables: list[np.ndarray], start: np.ndarray, move: np.ndarray) -> None:
-        self.glue, self.lexicon, self.tables, self.start, self.move = glue, lexicon, tables, start, move
-
-    def features(self, page: Page) -> list[tuple[int, ...]]:
-        return [features(page, line, self.glue, self.lexicon) for line in page.lines]
-
-    def label(self, page: Page) -> list[int]:
-        """Most likely states of the page's lines."""
-        return self.path(self.features(page))
-
-    def path(self, seen: list[tuple[int, ...]]) -> list[int]:
-        """Viterbi path through rows of features."""
-        if not seen:
-            return []
-        emit = self._emit
-        if all(map(self._prosaic, seen)):
-            return [PROSE] * len(seen)
-        best = self.start_list + emit(seen[0])
-        back = []
-        for row in seen[1:]:
-            reach = best[:, None] + self.moves
-            came = reach.argmax(0)
-            back.append(came)
-            best = reach[came, _COLUMNS] + emit(row)
-        state = int(best.argmax())
-        path = [state]
-        for came in reversed(back):
-            state = int(came[state])
-            path.append(state)
-        return path[::-1]
-
-    def _emit(self, row: tuple[int, ...]) -> np.ndarray:
-        held = self.cache.get(row)
-        if held is None:
-            held = self.cache[row] = sum(w * t[f] for w, t, f in zip(WEIGHTS, self.logs, row))
-        return held
-
-    def _prosaic(self, row: tuple[int, ...]) -> bool:
-        """Prose leads by more than any change of state could gain; a page of such lines is all prose."""
-        held = self.plain.get(row)
-        if held is None:
-            e = self._emit(row)
-            held = self.plain[row] = bool(e[PROSE] - np.delete(e, PROSE).max() > self.gain)
-        return held
-
-    def freeze(self) -> Model:
-        self.logs = [np.log(t) for t in self.tables]
-        self.start_list = np.log(self.start)
-        self.moves = np.log(self.move)
-        self.cache: dict[tuple[int, ...], np.ndarray] = {}
-        self.plain: dict[tuple[int, ...], bool] = {}
-        stay = self.moves[PROSE, PROSE]
-        self.gain = max(0.0, float(self.moves.max() - stay)) + max(0.0, float(self.start_list.max() - self.start_list[PROSE])) + 0.01
-        return self
-
-    def share(self, text: str) -> float:
-        """Share of the page's words in link lists, tag lists and menus."""
-        page = Page(text)
-        words = sum(line.size for line in page.lines)
-        if not words:
-            return 0.0
-        return sum(line.size for line, s in zip(page.lines, self.label(page)) if s >= LINK) / words
+_ALNUM, _DIGIT, _SPACE, _UPPER, _JOIN, _DELIMITER, _CODE, _STOP, _CLOSER, _OPENER, _END, _LEAD = (1 << i for i in range(12))
+_SIGNS = {
+    _JOIN: "'’-", _DELIMITER: ",|/•·;#~*–—»›", _CODE: "(){}=[]<>_", _STOP: ".!?…:;", _CLOSER: "\"”»’)", _OPENER: "\"“«‘'(>¿¡", _END: ".!?…", _LEAD: "-*•–·+",
+}
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective 64-bit finalizer."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _marked(text: str) -> str:
+    """The text with a sign in place of each address; captions stand between two signs."""
+    for sign in (OPEN, CLOSE, BARE):
+        if sign in text:
+            text = text.replace(sign, " ")
+    if "](" in text:
+        text = _MARKDOWN.sub(rf"{OPEN}\1{CLOSE}", text)
+    if "<a" in text or "<A" in text:
+        text = _ANCHOR.sub(rf"{OPEN}\1{CLOSE}", text)
+    if "//" in text or _DOTTED.search(text):
+        text = "\n".join(_URL.sub(BARE, line) if "//" in line or _DOTTED.search(line) else line for line in text.split("\n"))
+    return text
+
+
+@dataclass
+class Lines:
+    """The lines of some pages (``page``), and their words outside links (``line``, ``hash``)."""
+
+    pages: int
+    page: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
+    links: np.ndarray
+    ends: np.ndarray
+    digits: np.ndarray
+    hashtags: np.ndarray
+    seps: np.ndarray
+    code: np.ndarray
+    lead: np.ndarray
+    sku: np.ndarray
+    meta: np.ndarray
+    menu: np.ndarray
+    line: np.ndarray
+    hash: np.ndarray
+    letters: np.ndarray
+    numeric: np.ndarray
+    frequent: np.ndarray  # words that fill much of their page
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        return np.bincount(self.line, of_words, len(self.page))
+
+    def share(self, of_words: np.ndarray) -> np.ndarray:
+        return self.sums(of_words) / np.maximum(1, self.words)
+
+
+class Reader:
+    """Cuts texts into lines with their features, all in arrays."""
+
+    def __init__(self) -> None:
+        signs = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x10000)]
+        self.flags = np.zeros(0x10000, np.uint16)
+        for flag, test in ((_ALNUM, str.isalnum), (_DIGIT, str.isdigit), (_SPACE, str.isspace), (_UPPER, str.isupper)):
+            self.flags[np.fromiter(map(test, signs), bool, 0x10000)] |= flag
+        for flag, chosen in _SIGNS.items():
+            self.flags[[ord(s) for s in chosen]] |= flag
+        self.lower = np.array([ord(s.lower()) if len(s.lower()) == 1 else ord(s) for s in signs], np.uint64)
+        self.step = int(np.random.default_rng(20).integers(1, 2**62)) * 2 + 1
+        self.up = self.down = np.ones(1, np.uint64)
+        self.menu_words, self.code_words = self.hashes(MENU_WORDS), self.hashes(CODE_WORDS)
+        self.label_words, self.keyword, self.meta_word, self.sku_word = self.hashes(["tag", "label", "keyword"]), self.hashes(["keyword"]), self.hashes(["meta"]), self.hashes(["sku"])
+
+    def hashes(self, words: list[str]) -> np.ndarray:
+        return np.unique(self._words(np.array([ord(c) for c in " ".join(words) + "\n"], np.uint32))[2])
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            for name, base in (("up", self.step), ("down", pow(self.step, -1, 1 << 64))):
+                line = np.full(n, base, np.uint64)
+                line[0] = 1
+                setattr(self, name, np.multiply.accumulate(line))
+
+    def _words(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Begin and end of each word, its hash (no case, hyphens or plural s), letters, and the flags of all signs."""
+        low = np.minimum(c, 0xFFFF)
+        flags = self.flags[low]
+        alnum = (flags & _ALNUM) > 0
+        ok = alnum.copy()
+        inner = np.flatnonzero(flags[1:-1] & _JOIN) + 1
+        ok[inner[alnum[inner - 1] & alnum[inner + 1]]] = True
+        edges = np.flatnonzero(np.diff(ok.view(np.int8), prepend=0, append=0))
+        begin, stop = edges[::2], edges[1::2]
+        at = np.flatnonzero(alnum)
+        self._powers(len(at) + 1)
+        letters = self.lower[low[at]]
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum((letters * _GOLD ^ (letters >> np.uint64(3))) * self.up[: len(at)], out=total[1:])
+        a, b = np.searchsorted(at, begin), np.searchsorted(at, stop)
+        plural = (b - a > 3) & (letters[b - 1] == ord("s")) if len(b) else np.zeros(0, bool)
+        b = b - plural
+        return begin, stop, _mix((total[b] - total[a]) * self.down[a] + (b - a).astype(np.uint64)), b - a, flags
+
+    def __call__(self, texts: list[str]) -> Lines:
+        marked = [_marked(t) for t in texts or [""]]
+        c = np.frombuffer("\n".join([*marked, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        page_start = np.cumsum([0, *(len(t) + 1 for t in marked)])[:-1]
+        begin, stop, word, letters, flags = self._words(c)
+        has = lambda flag: (flags & flag) > 0
+        space = has(_SPACE)
+
+        start = np.concatenate([[0], np.flatnonzero(c == 10) + 1])[:-1]
+        stretch = np.diff(start, append=len(c))
+        # Long lines are cut after sentences.
+        cut = np.flatnonzero(space[1:] & ~space[:-1] & has(_END | _CLOSER)[:-1]) + 1
+        cut = cut[stretch[np.searchsorted(start, cut, "right") - 1] > LONG]
+        before = cut - 1
+        for _ in range(4):
+            before = np.where((flags[before] & _CLOSER) > 0, np.maximum(before - 1, 0), before)
+        start = np.union1d(start, cut[(flags[before] & _END) > 0])
+        # What is long still is cut into runs of words.
+        line = np.searchsorted(start, begin, "right") - 1
+        number = np.arange(len(begin)) - np.searchsorted(line, line)
+        start = np.union1d(start, begin[(np.diff(start, append=len(c))[line] > LONG) & (number > 0) & (number % PIECE_WORDS == 0)])
+        end = np.append(start[1:], len(c))
+        n = len(start)
+        line = np.searchsorted(start, begin, "right") - 1
+
+        def count(at: np.ndarray) -> np.ndarray:
+            return np.bincount(np.searchsorted(start, at, "right") - 1, minlength=n)
+
+        opened, closed_at, bare = (np.flatnonzero(c == ord(s)) for s in (OPEN, CLOSE, BARE))
+        in_link = np.searchsorted(opened, begin, "right") > np.searchsorted(closed_at, begin, "right")
+        linked, urls = np.bincount(line[in_link], minlength=n), count(np.concatenate([closed_at, bare]))
+        out = ~in_link
+        begin, stop, word, letters, line = begin[out], stop[out], word[out], letters[out], line[out]
+        words = np.bincount(line, minlength=n)
+        size = words + linked + urls
+        many = np.maximum(1, words)
+
+        solid = np.flatnonzero(~(space | has(_CLOSER)))
+        last = np.append(solid, -1)[np.searchsorted(solid, end) - 1]
+        closed = (last >= start) & ((flags[last] & _STOP) > 0)
+        shown = np.append(np.flatnonzero(~space), len(c) - 1)
+        first = shown[np.searchsorted(shown, start).clip(max=len(shown) - 1)]
+        plain = np.append(np.flatnonzero(~(space | has(_OPENER))), len(c) - 1)
+        head = plain[np.searchsorted(plain, start).clip(max=len(plain) - 1)]
+        capital = (head < end) & ((flags[head] & (_UPPER | _DIGIT)) > 0)
+
+        digit_total = np.concatenate([[0], np.cumsum(has(_DIGIT), dtype=np.int32)])
+        figures = digit_total[stop] - digit_total[begin]
+        numeric = figures == stop - begin
+        following = np.minimum(stop, len(c) - 1)
+        after = np.minimum(following + space[following], len(c) - 1)
+        opens = begin == first[line]
+        signed = lambda at, signs: np.isin(c[at], [ord(s) for s in signs])
+
+        hash_sign = np.flatnonzero(c == ord("#"))
+        nxt = np.minimum(hash_sign + 1, len(c) - 1)
+        tag_at = hash_sign[space[np.maximum(hash_sign - 1, 0)] & ((flags[nxt] & (_ALNUM | _DIGIT)) == _ALNUM)] if len(hash_sign) else hash_sign
+        hashtags = count(tag_at) / many
+        links = np.where((urls > 0) & (linked == 0) & (words <= 6 * urls) & ~closed, 1.0, (linked + urls) / np.maximum(1, size))
+
+        colon = np.flatnonzero((c[:-1] == ord(":")) & (c[1:] == ord(":")))
+        dash = np.flatnonzero(signed(slice(None), "->"))
+        dash = dash[(dash > 0) & (dash < len(c) - 1)]
+        dash = dash[(c[dash - 1] == 32) & (c[dash + 1] == 32)]
+        seps = count(np.concatenate([np.flatnonzero(has(_DELIMITER)), colon, dash])) / many
+
+        coded = count(np.flatnonzero(has(_CODE))) > 0
+        coded |= signed(first, "@#") & (first < end)
+        coded[line[opens & np.isin(word, self.code_words) & ((flags[begin] & _UPPER) == 0)]] = True
+        lead = ((flags[first] & _LEAD) > 0) & space[np.minimum(first + 1, len(c) - 1)] & (first < end)
+        lead[line[opens & numeric & signed(following, ".)") & space[np.minimum(following + 1, len(c) - 1)]]] = True
+
+        sku = np.zeros(n, bool)
+        money = np.flatnonzero(signed(slice(None), "$€£"))
+        skip = np.minimum(money + 1, len(c) - 1)
+        skip = np.minimum(skip + space[skip], len(c) - 1)
+        sku |= count(money[(flags[skip] & _DIGIT) > 0]) > 0
+        percent = numeric & (stop - begin <= 2) & signed(following, "%") & (begin > 0) & (c[begin - 1] == ord("-"))
+        upper_total = np.concatenate([[0], np.cumsum(has(_UPPER), dtype=np.int32)])
+        capitals = upper_total[stop] - upper_total[begin]
+        article = (capitals >= 2) & (capitals <= 4) & (figures >= 4) & (stop - begin - capitals - figures <= 1) & ((flags[begin] & _UPPER) > 0) & ((flags[np.maximum(stop - 1, 0)] & _DIGIT) > 0)
+        named = np.isin(word, self.sku_word) & (capitals == 3)
+        sku[line[percent | article | named]] = True
+        sku &= digit_total[end] > digit_total[start]
+
+        keyword = np.isin(word, self.keyword)
+        meta = np.zeros(n, bool)
+        meta[line[keyword & signed(after, ":=") | opens & np.isin(word, self.label_words) & signed(after, ":")]] = True
+        meta[line[np.isin(word, self.meta_word) & (begin > 0) & (c[begin - 1] == ord("<"))]] = True
+        menu = np.where(size <= 12, np.bincount(line[np.isin(word, self.menu_words)], minlength=n) / many, 0.0)
+
+        page = np.searchsorted(page_start, start, "right") - 1
+        of = page[line]
+        _, inverse, counts = np.unique(word + of.astype(np.uint64) * _GOLD, return_inverse=True, return_counts=True)
+        need = np.maximum(3, 0.07 * np.bincount(of, minlength=len(marked)))
+
+        keep = size > 0
+        place = np.cumsum(keep) - 1
+        k = lambda x: x[keep]
+        return Lines(
+            len(marked), k(page), k(size), k(words), k(links), k(2 * closed + capital), k(np.bincount(line[numeric], minlength=n) / many), k(hashtags), k(seps),
+            k(coded & (hashtags == 0)), k(lead), k(sku), k(meta), k(menu), place[line], word, letters, numeric, counts[inverse] >= need[of],
+        )
 
 
 _LINKS, _SIZES, _REPEATED, _HELD = (0.01, 0.3, 0.7), (3, 5, 9), (0.15, 0.4, 0.7), (0.05, 0.15, 0.3)
 _SEPS, _DIGITS, _VALUES = (0.1, 0.25, 0.5), (0.1, 0.3), (-0.8, -0.3, 0.2, 0.8, 1.6)
+#: Number of values of each feature, and its weight: the lexicon speaks for many words at once; the repetition features overlap.
+WIDTHS = (4, 8, 4, 4, 4, 4, 4, 6, 4, 6)
+WEIGHTS = (1.0, 1.0, 0.7, 0.7, 0.7, 1.0, 1.0, 1.0, 1.0, 2.0)
 
 
-def features(page: Page, line: Line, glue: set[str], lexicon: dict[str, float]) -> tuple[int, ...]:
-    n, held, again, free, value = len(line.tokens) or 1, 0, 0, 0, 0.0
-    counts, need, worth = page.counts, page.need, lexicon.get
-    for t in line.tokens:
-        value += worth(t, 0.0)
-        if t in glue:
-            held += 1
-        elif len(t) > 2 and not t.isdigit():
-            free += 1
-            again += counts[t] >= need
-    return (
-        bisect_right(_LINKS, line.links),
-        line.ends * 2 + (line.size >= 5),
-        bisect_right(_SIZES, line.size),
-        bisect_right(_REPEATED, again / free if free else 0.0),
-        bisect_right(_HELD, held / n),
-        bisect_right(_SEPS, line.seps),
-        2 * (line.hashtags >= 0.4 or line.meta) + line.sku,
-        bisect_right(_DIGITS, line.digits) * 2 + line.lead,
-        line.code + 2 * (line.menu >= 0.5),
-        bisect_right(_VALUES, value / n),
+def _among(word: np.ndarray, glue: np.ndarray) -> np.ndarray:
+    """Which words stand in the sorted array ``glue``."""
+    if not len(glue):
+        return np.zeros(len(word), bool)
+    return glue[np.searchsorted(glue, word).clip(max=len(glue) - 1)] == word
+
+
+def _repeated(lines: Lines, held: np.ndarray) -> np.ndarray:
+    """Share of the telling words of each line that are frequent on their page."""
+    free = (lines.letters > 2) & ~lines.numeric & ~held
+    return lines.sums(free & lines.frequent) / np.maximum(1, lines.sums(free))
+
+
+def features(lines: Lines, glue: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """(lines, features) small integers below ``WIDTHS``."""
+    held = _among(lines.hash, glue)
+    value = lines.share(lexicon[(lines.hash & np.uint64(BUCKETS - 1)).astype(np.int64)])
+    step = lambda edges, x: np.searchsorted(edges, x, "right")
+    columns = [
+        step(_LINKS, lines.links),
+        lines.ends * 2 + (lines.size >= 5),
+        step(_SIZES, lines.size),
+        step(_REPEATED, _repeated(lines, held)),
+        step(_HELD, lines.share(held)),
+        step(_SEPS, lines.seps),
+        2 * ((lines.hashtags >= 0.4) | lines.meta) + lines.sku,
+        step(_DIGITS, lines.digits) * 2 + lines.lead,
+        lines.code + 2 * (lines.menu >= 0.5),
+        step(_VALUES, value),
+    ]
+    return np.column_stack(columns).astype(np.int64)
+
+
+def surely(lines: Lines, glue: np.ndarray, lexicon: np.ndarray | None = None) -> np.ndarray:
+    """The state of each line that leaves no doubt, else -1."""
+    among = _among(lines.hash, glue)
+    held, repeated, size = lines.share(among), _repeated(lines, among), lines.size
+    telling = (lines.letters > 3) & ~among
+    key, counts = np.unique(lines.hash[telling] + lines.line[telling].astype(np.uint64) * _GOLD, return_index=True, return_counts=True)[1:]
+    again = np.zeros(len(size), bool)
+    again[lines.line[telling][key[counts > 1]]] = True
+    listed = np.zeros(len(size), bool)
+    if lexicon is not None:
+        listed = (repeated >= 0.4) & (lines.share(lexicon[(lines.hash & np.uint64(BUCKETS - 1)).astype(np.int64)]) >= 0.8)
+    some = lines.links > 0
+    return np.select(
+        [
+            (lines.menu >= 0.6) & (size <= 8) & ~some,
+            lines.links >= 0.7,
+            (lines.hashtags >= 0.5) | lines.meta & (lines.seps >= 0.2) | listed,
+            some & (lines.ends == 3) & (lines.links < 0.2) & (held >= 0.2),
+            some,
+            lines.sku & (lines.ends < 2) & (held < 0.1) & (size >= 4),
+            lines.sku,
+            lines.lead & (lines.digits > 0) | (lines.digits >= 0.4),
+            lines.code & ((repeated < 0.9) | (lines.sums((lines.letters > 2) & ~lines.numeric & ~among) < 3)),
+            (lines.ends == 3) & (size >= 5) & (lines.seps < 0.25) & ~again,
+            (held < 0.1) & (repeated >= 0.5) & (lines.ends < 2) & ((lines.seps >= 0.2) | (size <= 5)),
+        ],
+        [MENU, LINK, TAG, PROSE, -1, TAG, -1, FIGURES, CODE, PROSE, TAG],
+        -1,
     )
 
 
-#: Number of values of each feature.
-WIDTHS = (4, 8, 4, 4, 4, 4, 4, 6, 4, 6)
-#: The lexicon speaks for many words at once; the repetition features overlap.
-WEIGHTS = (1.0, 1.0, 0.7, 0.7, 0.7, 1.0, 1.0, 1.0, 1.0, 2.0)
+class Model:
+    """Hidden Markov model over lines with independent discrete emissions."""
 
+    def __init__(self, glue: np.ndarray, lexicon: np.ndarray, tables: list[np.ndarray], start: np.ndarray, move: np.ndarray) -> None:
+        self.glue, self.lexicon, self.tables, self.start, self.move = glue, lexicon, tables, start, move
 
-def _surely(page: Page, line: Line, glue: set[str], lexicon: dict[str, float] | None = None) -> int | None:
-    """The state of a line that leaves no doubt."""
-    n = max(1, len(line.tokens))
-    held = sum(t in glue for t in line.tokens) / n
-    repeated = page.repeated(line, glue)
-    if line.menu >= 0.6 and line.size <= 8 and line.links == 0:
-        return MENU
-    if line.links >= 0.7:
-        return LINK
-    if line.hashtags >= 0.5 or line.meta and line.seps >= 0.2:
-        return TAG
-    if lexicon is not None and repeated >= 0.4 and sum(lexicon.get(t, 0.0) for t in line.tokens) / n >= 0.8:
-        return TAG
-    if line.links > 0:
-        return PROSE if line.ends == 3 and line.links < 0.2 and held >= 0.2 else None
-    if line.sku:
-        return TAG if line.ends < 2 and held < 0.1 and line.size >= 4 else None
-    if line.lead and line.digits > 0 or line.digits >= 0.4:
-        return FIGURES
-    if line.code and repeated < 0.9:
-        return CODE
-    again = max(Counter(t for t in line.tokens if t not in glue and len(t) > 3).values(), default=0)
-    if line.ends == 3 and line.size >= 5 and line.seps < 0.25 and again < 2:
-        return PROSE
-    if held < 0.1 and repeated >= 0.5 and line.ends < 2 and (line.seps >= 0.2 or line.size <= 5):
-        return TAG
-    return None
-
-
-def train(texts: list[str], rounds: int = ROUNDS) -> Model:
-    """The model from sampled pages; usable (all prose) even without any."""
-    pages = [Page(t) for t in texts]
-    spread: Counter[str] = Counter()
-    for page in pages:
-        spread.update({t for line in page.lines if line.ends == 3 and line.size >= 5 and line.links == 0 for t in line.tokens})
-    glue = {w for w, n in spread.items() if n >= max(3, 0.12 * len(pages)) and not w.isdigit()}
-    words = [Counter() for _ in STATES]
-    sure = []
-    for page in pages:
-        labels = [_surely(page, line, glue) for line in page.lines]
-        sure.append(labels)
-        for line, s in zip(page.lines, labels):
-            if s is not None:
-                words[s].update(set(line.tokens))
-
-    def lexicon_of(words: list[Counter]) -> dict[str, float]:
-        listed, plain = words[TAG] + words[LINK], words[PROSE] + words[CODE] + words[FIGURES]
-        a, b = sum(listed.values()) + 1.0, sum(plain.values()) + 1.0
-        # Pseudo-counts in proportion to the totals, so that a rare word says little either way.
-        x, y = a / (a + b), b / (a + b)
-        return {w: max(-3.0, min(3.0, math.log((listed[w] + x) / a) - math.log((plain[w] + y) / b))) for w in {*listed, *plain} if listed[w] + plain[w] >= 4}
-
-    lexicon = lexicon_of(words)
-    sure = [[_surely(page, line, glue, lexicon) for line in page.lines] for page in pages]
-    seen = [[features(page, line, glue, lexicon) for line in page.lines] for page in pages]
-    whole = [np.bincount([row[k] for rows in seen for row in rows], minlength=w) + 1.0 for k, w in enumerate(WIDTHS)]
-    labels, model = sure, None
-    found = Counter(s for row in sure for s in row)
-    absent = [s for s in range(len(STATES)) if s != PROSE and found[s] < LEAST_LINES]
+    def paths(self, seen: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """The most likely state of each line; ``page`` is the page of each line, in order."""
+        path = np.zeros(len(page), np.int64)
+        if not len(page):
+            return path
+        emit = sum(w * np.log(t)[f] for w, t, f in zip(WEIGHTS, self.tables, seen.T))
+        first = np.flatnonzero(np.diff(page, prepend=-1))
+        length = np.diff(first, append=len(page))
+        first = first[np.argsort(-length, kind="stable")]
+        length = -np.sort(-length)
+        moves = np.log(self.move).T[None]
+        best = np.log(self.start) + emit[first]
+        back = []
+        for t in range(1, int(length[0])):
+            going = int(np.searchsorted(-length, -t))  # pages with a line t
+            reach = best[:going, None, :] + moves
+            came = reach.argmax(2)
+            best[:going] = np.take_along_axis(reach, came[:, :, None], 2)[:, :, 0] + emit[first[:going] + t]
+            back.append(came)
+        state = best.argmax(1)
+        path[first + length - 1] = state
+        for t in range(int(length[0]) - 1, 0, -1):
+            came = back[t - 1]
+            going = len(came)
+            state[:going] = came[np.arange(going), state[:going]]
+            path[first[:going] + t - 1] = state[:going]
+        return path
+
+    def label(self, lines: Lines) -> np.ndarray:
+        return self.paths(features(lines, self.glue, self.lexicon), lines.page)
+
+    def shares(self, lines: Lines) -> np.ndarray:
+        """Share of each page's words in link lists, tag lists and menus."""
+        listed = np.bincount(lines.page, lines.size * (self.label(lines) >= LINK), lines.pages)
+        return listed / np.maximum(1, np.bincount(lines.page, lines.size, lines.pages))
+
+
+def _ruled(whole: list[np.ndarray]) -> list[np.ndarray]:
+    """Emission counts of ``RULED`` lines for each state but prose that obey its strict rule and are like all lines else."""
+    tables = [np.zeros((w, len(STATES))) for w in WIDTHS]
+    for state, rule in ((CODE, {8: (1, 3)}), (FIGURES, {7: (2, 3, 4, 5), 8: (0,)}), (LINK, {0: (3,)}), (TAG, {6: (2, 3), 9: (4, 5), 4: (0,)}), (MENU, {8: (2, 3), 2: (0, 1)})):
+        for k, c in enumerate(whole):
+            obeys = np.isin(np.arange(len(c)), rule.get(k, range(len(c))))
+            tables[k][:, state] = RULED * c * obeys / (c * obeys).sum()
+    return tables
+
+
+def train(lines: Lines, glue: np.ndarray, lexicon: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Emissions and transitions from the lines of sampled pages; usable even without any."""
+    sure, seen = surely(lines, glue, lexicon), features(lines, glue, lexicon)
+    whole = [np.bincount(f, minlength=w) + 1.0 for f, w in zip(seen.T.reshape(len(WIDTHS), -1), WIDTHS)]
+    ruled = _ruled(whole)
+    follows = np.flatnonzero(np.diff(lines.page) == 0)
+    begins = np.flatnonzero(np.diff(lines.page, prepend=-1))
+    labels = sure
     for _ in range(rounds + 1):
-        tables = [np.repeat((PRIOR * (c / c.sum() + 1 / len(c)))[:, None], len(STATES), 1) for c in whole]
-        start, move = np.full(len(STATES), 1.0), np.full((len(STATES), len(STATES)), 0.5)
-        for rows, states in zip(seen, labels):
-            for i, (row, s) in enumerate(zip(rows, states)):
-                if s is None:
-                    continue
-                for table, f in zip(tables, row):
-                    table[f, s] += 1
-                if i == 0:
-                    start[s] += 1
-                elif states[i - 1] is not None:
-                    move[states[i - 1], s] += 1
-        for state in absent:
-            start[state] = 1e-9
-            move[:, state] = 1e-9
-        model = Model(glue, lexicon, [t / t.sum(0) for t in tables], start / start.sum(), move / move.sum(1, keepdims=True)).freeze()
+        tables = []
+        for f, w, c, rule in zip(seen.T.reshape(len(WIDTHS), -1), WIDTHS, whole, ruled):
+            known = labels >= 0
+            table = np.bincount(f[known] * len(STATES) + labels[known], minlength=w * len(STATES)).reshape(w, len(STATES))
+            tables.append(table + rule + (PRIOR * (c / c.sum() + 1 / len(c)))[:, None])
+        start = 1.0 + np.bincount(labels[begins][labels[begins] >= 0], minlength=len(STATES))
+        a, b = labels[follows], labels[follows + 1]
+        both = (a >= 0) & (b >= 0)
+        move = 0.5 + np.bincount(a[both] * len(STATES) + b[both], minlength=len(STATES) ** 2).reshape(len(STATES), -1)
+        model = Model(glue, lexicon, [t / t.sum(0) for t in tables], start / start.sum(), move / move.sum(1, keepdims=True))
         # Lines that were beyond doubt keep their label while the others are relabelled.
-        labels = [[a if a is not None else b for a, b in zip(known, model.path(rows))] for rows, known in zip(seen, sure)]
+        labels = np.where(sure >= 0, sure, model.paths(seen, lines.page))
     return model
 
 
-def sample_texts(documents: DataFrame, id_col: str, text_col: str, pages: int) -> list[str]:
-    """About ``pages`` texts, chosen by a hash of their id."""
-    n = documents.count()
-    part = documents.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * pages / max(1, n))))
-    return [r[0] for r in part.where(F.col(text_col).isNotNull()).select(text_col).limit(2 * pages).toLocalIterator()]
+def _chunks(texts: list[str]) -> Iterator[slice]:
+    """Slices of the list with a bounded number of signs (or one text)."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > _CHUNK:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (h, n): on how many pages each word stands in a sentence; h 0 counts the pages."""
+    read, held, pages = Reader(), [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        h, n = (np.concatenate(x) for x in zip(*held))
+        h, inverse = np.unique(h, return_inverse=True)
+        return h, np.bincount(inverse, n).astype(np.int64)
+
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for part in _chunks(texts):
+            lines = read(texts[part])
+            pages += lines.pages
+            whole = ((lines.ends == 3) & (lines.size >= 5) & (lines.links == 0))[lines.line] & ~lines.numeric
+            once = np.unique(lines.hash[whole] + lines.page[lines.line[whole]].astype(np.uint64) * _GOLD, return_index=True)[1]
+            h, n = np.unique(lines.hash[whole][once], return_counts=True)
+            held.append((h, n))
+            if sum(len(x[0]) for x in held) > 2_000_000:
+                held = [merged()]
+    if held:
+        h, n = merged()
+        h, n = np.append(h.view(np.int64), 0), np.append(n, pages)
+        for at in range(0, len(h), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["h", "n"])
+
+
+def _count_states(glue_of):  # noqa: ANN001
+    """(text) -> (bucket, listed, plain): lines beyond doubt that hold a word of the bucket, in lists and elsewhere."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, glue = Reader(), glue_of.value
+        total = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in _chunks(texts):
+                lines = read(texts[part])
+                sure = surely(lines, glue)
+                bucket = (lines.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
+                once = np.unique(lines.line.astype(np.int64) * BUCKETS + bucket)
+                state, bucket = sure[once // BUCKETS], once % BUCKETS
+                total[0] += np.bincount(bucket[(state == TAG) | (state == LINK)], minlength=BUCKETS)
+                total[1] += np.bincount(bucket[(state == PROSE) | (state == CODE) | (state == FIGURES)], minlength=BUCKETS)
+        some = np.flatnonzero(total.any(0))
+        for at in range(0, len(some), 100_000):
+            b = some[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total[0][b]), pa.array(total[1][b])], names=["bucket", "listed", "plain"])
+
+    return run
+
+
+def lexicon_of(bucket: np.ndarray, listed: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Log ratio of a word's share of listed and other lines, by bucket; 0 where nothing is known."""
+    a, b = listed.sum() + 1.0, plain.sum() + 1.0
+    # Pseudo-counts in proportion to the totals, so that a rare word says little either way.
+    x, y = a / (a + b), b / (a + b)
+    known = listed + plain >= LEAST_LINES
+    lexicon = np.zeros(BUCKETS, np.float32)
+    lexicon[bucket[known]] = np.clip(np.log((listed[known] + x) / a) - np.log((plain[known] + y) / b), -3.0, 3.0)
+    return lexicon
+
+
+def _glue(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the words on a share ``GLUE`` of all pages, and the number of pages.
+
+    There are at most (words of a page) / ``GLUE`` of them, whatever the corpus.
+    """
+    counts = texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    pages = counts.where("h = 0").select(F.col("n").alias("pages"))
+    rows = counts.crossJoin(F.broadcast(pages)).where(f"h = 0 or n >= greatest(3, {GLUE} * pages)").toArrow()  # one row of pages
+    h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
+    return np.sort(h[h != 0].view(np.uint64)), int(n[h == 0].sum())
+
+
+def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_pages: int = TRAINING_PAGES) -> Model:
+    """Glue words and lexicon of all pages, emissions and transitions of about ``training_pages``, chosen by a hash of their id."""
+    texts = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    spark = documents.sparkSession
+    glue, pages = _glue(texts)
+    counted = texts.mapInArrow(_count_states(spark.sparkContext.broadcast(glue)), "bucket int, listed long, plain long")
+    buckets = counted.groupBy("bucket").agg(F.sum("listed").alias("listed"), F.sum("plain").alias("plain")).toArrow()  # at most BUCKETS rows
+    lexicon = lexicon_of(*(buckets.column(c).to_numpy() for c in ("bucket", "listed", "plain")))
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * training_pages / max(1, pages)))
+    sample = documents.where(drawn & F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col).limit(2 * training_pages).toArrow().column(0).to_pylist()
+    return train(Reader()(sample), glue, lexicon)
 
 
 def list_shares(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_pages: int = TRAINING_PAGES) -> DataFrame:
     """(doc_id, list_share): share of each page's words in link lists, tag lists and menus."""
-    trained = train(sample_texts(documents, id_col, text_col, training_pages))
-    # Plain data is broadcast; the model is rebuilt from it, so executors need no package of ours.
+    trained = fit(documents, id_col, text_col, training_pages)
+    # Plain data is broadcast (4 MB of lexicon at most); the model is rebuilt from it, so executors need no package of ours.
     held = documents.sparkSession.sparkContext.broadcast((trained.glue, trained.lexicon, trained.tables, trained.start, trained.move))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(*held.value).freeze()
+        model, read = Model(*held.value), Reader()
         for batch in batches:
-            shares = [model.share(t) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            shares = np.concatenate([np.zeros(0), *(model.shares(read(texts[part])) for part in _chunks(texts))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=[id_col, "list_share"])
 
     rows = documents.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -1,6 +1,8 @@
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import encoding, pii, stuffing, tokens
@@ -146,12 +148,17 @@ def page_samples(n, seed):
     return out
 
 
+def shares_of(model, texts):
+    return model.shares(stuffing.Reader()(texts)).tolist()
+
+
 def test_stuffed_pages_on_held_out_pages(spark):
-    model = stuffing.train([t for t, _ in page_samples(600, 1)])
+    rows = [(i, t) for i, (t, _) in enumerate(page_samples(600, 1))]
+    model = stuffing.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     held = page_samples(200, 2)
-    wrong = [(t[:60], model.share(t)) for t, bad in held if (model.share(t) > 0.5) != bad]
+    wrong = [(t[:60], s) for (t, bad), s in zip(held, shares_of(model, [t for t, _ in held])) if (s > 0.5) != bad]
     assert len(wrong) <= 4, wrong[:5]
-    assert model.share("") == 0.0 and stuffing.train([]).share("Some words.") == 0.0
+    assert shares_of(model, ["", " \n\n"]) == [0.0, 0.0]
     rows = [(i, t) for i, (t, _) in enumerate(page_samples(150, 3))] + [(900, None), (901, ""), (None, "x"), (0, page_samples(150, 3)[0][0])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in stuffing.stuffed_pages(df).collect()}
@@ -160,6 +167,45 @@ def test_stuffed_pages_on_held_out_pages(spark):
     assert stuffing.stuffed_pages(df.limit(0)).count() == 0
 
 
+def test_rare_list_states_are_not_left_out(spark):
+    """One page of links, one of tags and one menu among many pages of prose, code and tables, and not all in the sample."""
+    links = "\n".join(f"[cheap hose {i}](https://shop{i}.example/p?id={i})" for i in range(14))
+    tags = "\n".join("#hose #cheap #hosepipe #sale" for _ in range(8))
+    menu = "\n".join("Home | About | Contact | Login" for _ in range(8))
+    plain = [t for t, bad in page_samples(400, 4) if not bad]
+    rows = list(enumerate([links, tags, menu, *plain]))
+    got = {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame(rows, "doc_id long, text string"), training_pages=60).collect()}
+    assert got == {0, 1, 2}
+
+
+def test_lines_and_their_features():
+    read = stuffing.Reader()
+    lines = read(["Tags: oak desk, oak-desk\n\n1. first step 30 40\n<a href='https://x.example/y'>Oak desks</a> see www.x.test/a\nx = f(y)", "", "Wait! " * 60])
+    assert lines.pages == 3 and lines.page.tolist() == [0, 0, 0, 0] + [2] * 60
+    assert lines.size[:4].tolist() == [4, 5, 5, 3] and lines.size[4:].tolist() == [1] * 60
+    assert lines.meta[:4].tolist() == [True, False, False, False] and lines.lead[:4].tolist() == [False, True, False, False]
+    assert lines.links[:4].tolist() == [0, 0, 0.8, 0] and lines.code[:4].tolist() == [False, False, False, True]
+    assert lines.digits[1] == 0.6 and lines.seps[0] == 0.25
+    assert len(set(read(["oak-desk OakDesk oakdesks oak’desk"]).hash.tolist())) == 1 and len(set(read(["ab ba a b"]).hash.tolist())) == 4
+    assert len(read(["word " * 200]).page) == 7  # no sentence ends: pieces of 30 words
+
+
+def test_paths_equal_brute_force():
+    rng = np.random.default_rng(3)
+    k = len(stuffing.STATES)
+    tables = [t / t.sum(0) for t in (rng.random((w, k)) + 0.1 for w in stuffing.WIDTHS)]
+    move = rng.random((k, k)) + 0.05
+    model = stuffing.Model(np.zeros(0, np.uint64), np.zeros(stuffing.BUCKETS, np.float32), tables, np.full(k, 1 / k), move / move.sum(1, keepdims=True))
+    page = np.repeat([0, 2, 3, 7], [1, 4, 3, 5])
+    seen = np.column_stack([rng.integers(0, w, len(page)) for w in stuffing.WIDTHS])
+    got = model.paths(seen, page)
+    emit = sum(w * np.log(t)[f] for w, t, f in zip(stuffing.WEIGHTS, model.tables, seen.T))
+    for p in set(page.tolist()):
+        e = emit[page == p]
+        worth = lambda path: np.log(model.start[path[0]]) + sum(e[i][s] for i, s in enumerate(path)) + sum(np.log(model.move[a, b]) for a, b in zip(path, path[1:]))
+        assert tuple(got[page == p].tolist()) == max(itertools.product(range(k), repeat=len(e)), key=worth)
+
+
 def test_token_counts_match_the_tokenizer(spark):
     pytest.importorskip("tiktoken")
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "héllo <|endoftext|> " * 3)], "doc_id long, text string")
