@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.staging import stage
+
 TRAINING_PAGES = 2_500
 ROUNDS = 2
 LONG = 220
@@ -132,7 +134,7 @@ class Reader:
             self.flags[np.fromiter(map(test, signs), bool, 0x10000)] |= flag
         for flag, chosen in _SIGNS.items():
             self.flags[[ord(s) for s in chosen]] |= flag
-        self.lower = np.array([ord(s.lower()) if len(s.lower()) == 1 else ord(s) for s in signs], np.uint64)
+        self.lower = _mix(np.array([ord(s.lower()) if len(s.lower()) == 1 else ord(s) for s in signs], np.uint64) * _GOLD)
         self.step = int(np.random.default_rng(20).integers(1, 2**62)) * 2 + 1
         self.up = self.down = np.ones(1, np.uint64)
         self.menu_words, self.code_words = self.hashes(MENU_WORDS), self.hashes(CODE_WORDS)
@@ -151,21 +153,25 @@ class Reader:
 
     def _words(self, c: np.ndarray) -> tuple[np.ndarray, ...]:
         """Begin and end of each word, its hash (no case, hyphens or plural s), letters, and the flags of all signs."""
-        low = np.minimum(c, 0xFFFF)
+        low = c if len(c) == 0 or c.max() <= 0xFFFF else np.minimum(c, 0xFFFF)
         flags = self.flags[low]
-        alnum = (flags & _ALNUM) > 0
+        alnum = (flags & _ALNUM).view(bool)[::2]  # the lowest bit of the lower byte
         ok = alnum.copy()
         inner = np.flatnonzero(flags[1:-1] & _JOIN) + 1
-        ok[inner[alnum[inner - 1] & alnum[inner + 1]]] = True
-        edges = np.flatnonzero(np.diff(ok.view(np.int8), prepend=0, append=0))
+        inner = inner[alnum[inner - 1] & alnum[inner + 1]]
+        ok[inner] = True
+        change = np.flatnonzero(ok[1:] != ok[:-1]) + 1
+        edges = np.concatenate([[0] if len(ok) and ok[0] else [], change, [len(ok)] if len(ok) and ok[-1] else []]).astype(np.int64)
         begin, stop = edges[::2], edges[1::2]
-        at = np.flatnonzero(alnum)
-        self._powers(len(at) + 1)
-        letters = self.lower[low[at]]
-        total = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum((letters * _GOLD ^ (letters >> np.uint64(3))) * self.up[: len(at)], out=total[1:])
-        a, b = np.searchsorted(at, begin), np.searchsorted(at, stop)
-        plural = (b - a > 3) & (letters[b - 1] == ord("s")) if len(b) else np.zeros(0, bool)
+        letters = self.lower[low[alnum]]
+        self._powers(len(letters) + 1)
+        total = np.zeros(len(letters) + 1, np.uint64)
+        np.cumsum(letters * self.up[: len(letters)], out=total[1:])
+        # Letters of a word: its signs without joiners.
+        joined = np.bincount(np.searchsorted(begin, inner, "right") - 1, minlength=len(begin)).astype(np.int64)
+        b = np.cumsum(stop - begin - joined)
+        a = b - (stop - begin - joined)
+        plural = (b - a > 3) & (letters[b - 1] == self.lower[ord("s")]) if len(b) else np.zeros(0, bool)
         b = b - plural
         return begin, stop, _mix((total[b] - total[a]) * self.down[a] + (b - a).astype(np.uint64)), b - a, flags
 
@@ -174,91 +180,116 @@ class Reader:
         c = np.frombuffer("\n".join([*marked, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         page_start = np.cumsum([0, *(len(t) + 1 for t in marked)])[:-1]
         begin, stop, word, letters, flags = self._words(c)
-        has = lambda flag: (flags & flag) > 0
-        space = has(_SPACE)
+        top = len(c) - 1
+        is_space = lambda at: (flags[at] & _SPACE) > 0
+        has = lambda at, flag: (flags[at] & flag) > 0
+        # Every sign that is not blank is a letter, a digit or one of these.
+        signs = np.flatnonzero((flags & (_ALNUM | _SPACE)) == 0)
+        sign, sign_flags = c[signs], flags[signs]
+        at_signs = lambda chosen: signs[np.isin(sign, [ord(x) for x in chosen])]
+        flagged = lambda flag: signs[(sign_flags & flag) > 0]
 
         start = np.concatenate([[0], np.flatnonzero(c == 10) + 1])[:-1]
         stretch = np.diff(start, append=len(c))
         # Long lines are cut after sentences.
-        cut = np.flatnonzero(space[1:] & ~space[:-1] & has(_END | _CLOSER)[:-1]) + 1
+        cut = flagged(_END | _CLOSER) + 1
+        cut = cut[is_space(np.minimum(cut, top))]
         cut = cut[stretch[np.searchsorted(start, cut, "right") - 1] > LONG]
         before = cut - 1
         for _ in range(4):
-            before = np.where((flags[before] & _CLOSER) > 0, np.maximum(before - 1, 0), before)
-        start = np.union1d(start, cut[(flags[before] & _END) > 0])
+            before = np.where(has(before, _CLOSER), np.maximum(before - 1, 0), before)
+        start = np.union1d(start, cut[has(before, _END)])
         # What is long still is cut into runs of words.
-        line = np.searchsorted(start, begin, "right") - 1
-        number = np.arange(len(begin)) - np.searchsorted(line, line)
-        start = np.union1d(start, begin[(np.diff(start, append=len(c))[line] > LONG) & (number > 0) & (number % PIECE_WORDS == 0)])
+        first_word = np.searchsorted(begin, start)
+        each = np.diff(first_word, append=len(begin))
+        long = np.flatnonzero((np.diff(start, append=len(c)) > LONG) & (each > PIECE_WORDS))
+        if len(long):
+            pieces = (each[long] - 1) // PIECE_WORDS
+            number = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces) + 1
+            start = np.union1d(start, begin[np.repeat(first_word[long], pieces) + number * PIECE_WORDS])
         end = np.append(start[1:], len(c))
         n = len(start)
-        line = np.searchsorted(start, begin, "right") - 1
+        each = np.diff(np.searchsorted(begin, start), append=len(begin))
+        line = np.repeat(np.arange(n), each)
 
         def count(at: np.ndarray) -> np.ndarray:
             return np.bincount(np.searchsorted(start, at, "right") - 1, minlength=n)
 
-        opened, closed_at, bare = (np.flatnonzero(c == ord(s)) for s in (OPEN, CLOSE, BARE))
-        in_link = np.searchsorted(opened, begin, "right") > np.searchsorted(closed_at, begin, "right")
-        linked, urls = np.bincount(line[in_link], minlength=n), count(np.concatenate([closed_at, bare]))
-        out = ~in_link
-        begin, stop, word, letters, line = begin[out], stop[out], word[out], letters[out], line[out]
+        def next_of(words_at: np.ndarray, others: np.ndarray) -> np.ndarray:
+            """The first word or sign at or after each start."""
+            return np.minimum(np.append(words_at, top)[np.searchsorted(words_at, start)], np.append(others, top)[np.searchsorted(others, start)])
+
+        first, head = next_of(begin, signs), next_of(begin, signs[(sign_flags & _OPENER) == 0])
+        ending = signs[(sign_flags & _CLOSER) == 0]
+        last = np.maximum(np.append(stop - 1, -1)[np.searchsorted(stop - 1, end) - 1], np.append(ending, -1)[np.searchsorted(ending, end) - 1])
+        closed = (last >= start) & has(last, _STOP)
+        capital = (head < end) & has(head, _UPPER | _DIGIT)
+
+        opened, closed_at, bare = (signs[sign == ord(s)] for s in (OPEN, CLOSE, BARE))
+        urls, linked = count(np.concatenate([closed_at, bare])), np.zeros(n, np.int64)
+        if len(opened):
+            in_link = np.searchsorted(opened, begin, "right") > np.searchsorted(closed_at, begin, "right")
+            linked = np.bincount(line[in_link], minlength=n)
+            out = ~in_link
+            begin, stop, word, letters, line = begin[out], stop[out], word[out], letters[out], line[out]
         words = np.bincount(line, minlength=n)
         size = words + linked + urls
         many = np.maximum(1, words)
 
-        solid = np.flatnonzero(~(space | has(_CLOSER)))
-        last = np.append(solid, -1)[np.searchsorted(solid, end) - 1]
-        closed = (last >= start) & ((flags[last] & _STOP) > 0)
-        shown = np.append(np.flatnonzero(~space), len(c) - 1)
-        first = shown[np.searchsorted(shown, start).clip(max=len(shown) - 1)]
-        plain = np.append(np.flatnonzero(~(space | has(_OPENER))), len(c) - 1)
-        head = plain[np.searchsorted(plain, start).clip(max=len(plain) - 1)]
-        capital = (head < end) & ((flags[head] & (_UPPER | _DIGIT)) > 0)
-
-        digit_total = np.concatenate([[0], np.cumsum(has(_DIGIT), dtype=np.int32)])
+        digit_total = np.zeros(len(c) + 1, np.int32)
+        np.cumsum((flags & _DIGIT) > 0, out=digit_total[1:])
         figures = digit_total[stop] - digit_total[begin]
         numeric = figures == stop - begin
-        following = np.minimum(stop, len(c) - 1)
-        after = np.minimum(following + space[following], len(c) - 1)
-        opens = begin == first[line]
-        signed = lambda at, signs: np.isin(c[at], [ord(s) for s in signs])
-
-        hash_sign = np.flatnonzero(c == ord("#"))
-        nxt = np.minimum(hash_sign + 1, len(c) - 1)
-        tag_at = hash_sign[space[np.maximum(hash_sign - 1, 0)] & ((flags[nxt] & (_ALNUM | _DIGIT)) == _ALNUM)] if len(hash_sign) else hash_sign
-        hashtags = count(tag_at) / many
+        follows = lambda at, chosen: np.isin(c[np.minimum(at, top)], [ord(x) for x in chosen])
+        after = lambda at: np.minimum(at + is_space(np.minimum(at, top)), top)
+        opens = np.flatnonzero(begin == first[line])
+
+        hash_sign = signs[sign == ord("#")]
+        tags = hash_sign[((hash_sign == 0) | is_space(hash_sign - 1)) & ((flags[np.minimum(hash_sign + 1, top)] & (_ALNUM | _DIGIT)) == _ALNUM)]
+        hashtags = count(tags) / many
         links = np.where((urls > 0) & (linked == 0) & (words <= 6 * urls) & ~closed, 1.0, (linked + urls) / np.maximum(1, size))
 
-        colon = np.flatnonzero((c[:-1] == ord(":")) & (c[1:] == ord(":")))
-        dash = np.flatnonzero(signed(slice(None), "->"))
-        dash = dash[(dash > 0) & (dash < len(c) - 1)]
+        colon = signs[sign == ord(":")]
+        colon = colon[c[np.minimum(colon + 1, top)] == ord(":")]
+        dash = at_signs("->")
+        dash = dash[(dash > 0) & (dash < top)]
         dash = dash[(c[dash - 1] == 32) & (c[dash + 1] == 32)]
-        seps = count(np.concatenate([np.flatnonzero(has(_DELIMITER)), colon, dash])) / many
+        seps = count(np.concatenate([flagged(_DELIMITER), colon, dash])) / many
 
-        coded = count(np.flatnonzero(has(_CODE))) > 0
-        coded |= signed(first, "@#") & (first < end)
-        coded[line[opens & np.isin(word, self.code_words) & ((flags[begin] & _UPPER) == 0)]] = True
-        lead = ((flags[first] & _LEAD) > 0) & space[np.minimum(first + 1, len(c) - 1)] & (first < end)
-        lead[line[opens & numeric & signed(following, ".)") & space[np.minimum(following + 1, len(c) - 1)]]] = True
+        coded = count(flagged(_CODE)) > 0
+        coded |= follows(first, "@#") & (first < end)
+        coded[line[opens[np.isin(word[opens], self.code_words) & ~has(begin[opens], _UPPER)]]] = True
+        lead = has(first, _LEAD) & is_space(np.minimum(first + 1, top)) & (first < end)
+        dotted = opens[numeric[opens]]
+        lead[line[dotted[follows(stop[dotted], ".)") & is_space(np.minimum(stop[dotted] + 1, top))]]] = True
 
         sku = np.zeros(n, bool)
-        money = np.flatnonzero(signed(slice(None), "$€£"))
-        skip = np.minimum(money + 1, len(c) - 1)
-        skip = np.minimum(skip + space[skip], len(c) - 1)
-        sku |= count(money[(flags[skip] & _DIGIT) > 0]) > 0
-        percent = numeric & (stop - begin <= 2) & signed(following, "%") & (begin > 0) & (c[begin - 1] == ord("-"))
-        upper_total = np.concatenate([[0], np.cumsum(has(_UPPER), dtype=np.int32)])
-        capitals = upper_total[stop] - upper_total[begin]
-        article = (capitals >= 2) & (capitals <= 4) & (figures >= 4) & (stop - begin - capitals - figures <= 1) & ((flags[begin] & _UPPER) > 0) & ((flags[np.maximum(stop - 1, 0)] & _DIGIT) > 0)
-        named = np.isin(word, self.sku_word) & (capitals == 3)
-        sku[line[percent | article | named]] = True
+        money = at_signs("$€£")
+        sku |= count(money[has(after(money + 1), _DIGIT)]) > 0
+        percent = at_signs("%")
+        ended = np.searchsorted(stop, percent).clip(max=max(0, len(stop) - 1))
+        if len(stop):
+            ended = ended[(stop[ended] == percent) & numeric[ended] & (stop[ended] - begin[ended] <= 2) & (begin[ended] > 0)]
+            sku[line[ended[c[begin[ended] - 1] == ord("-")]]] = True
+        article = np.flatnonzero((figures >= 4) & ~numeric)
+        capitals = np.zeros(len(article), np.int64)
+        for i in range(5):
+            capitals += (begin[article] + i < stop[article]) & has(np.minimum(begin[article] + i, top), _UPPER)
+        fits = (capitals >= 2) & (capitals <= 4) & (stop[article] - begin[article] - capitals - figures[article] <= 1) & has(begin[article], _UPPER) & has(stop[article] - 1, _DIGIT)
+        sku[line[article[fits]]] = True
+        named = np.flatnonzero(word == self.sku_word)
+        sku[line[named[has(begin[named], _UPPER)]]] = True
         sku &= digit_total[end] > digit_total[start]
 
-        keyword = np.isin(word, self.keyword)
+        keyword = np.flatnonzero(word == self.keyword)
         meta = np.zeros(n, bool)
-        meta[line[keyword & signed(after, ":=") | opens & np.isin(word, self.label_words) & signed(after, ":")]] = True
-        meta[line[np.isin(word, self.meta_word) & (begin > 0) & (c[begin - 1] == ord("<"))]] = True
-        menu = np.where(size <= 12, np.bincount(line[np.isin(word, self.menu_words)], minlength=n) / many, 0.0)
+        meta[line[keyword[follows(after(stop[keyword]), ":=")]]] = True
+        label = opens[np.isin(word[opens], self.label_words)]
+        meta[line[label[follows(after(stop[label]), ":")]]] = True
+        named = np.flatnonzero(word == self.meta_word)
+        meta[line[named[(begin[named] > 0) & (c[begin[named] - 1] == ord("<"))]]] = True
+        brief = np.flatnonzero((size <= 12)[line])
+        menu = np.bincount(line[brief[np.isin(word[brief], self.menu_words)]], minlength=n) / many
 
         page = np.searchsorted(page_start, start, "right") - 1
         of = page[line]
@@ -475,8 +506,9 @@ def _count_states(glue_of):  # noqa: ANN001
                 bucket = (lines.hash & np.uint64(BUCKETS - 1)).astype(np.int64)
                 once = np.unique(lines.line.astype(np.int64) * BUCKETS + bucket)
                 state, bucket = sure[once // BUCKETS], once % BUCKETS
-                total[0] += np.bincount(bucket[(state == TAG) | (state == LINK)], minlength=BUCKETS)
-                total[1] += np.bincount(bucket[(state == PROSE) | (state == CODE) | (state == FIGURES)], minlength=BUCKETS)
+                for kind, some in enumerate(((state == TAG) | (state == LINK), (state == PROSE) | (state == CODE) | (state == FIGURES))):
+                    found, n = np.unique(bucket[some], return_counts=True)
+                    total[kind][found] += n
         some = np.flatnonzero(total.any(0))
         for at in range(0, len(some), 100_000):
             b = some[at : at + 100_000]
@@ -501,11 +533,10 @@ def _glue(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     There are at most (words of a page) / ``GLUE`` of them, whatever the corpus.
     """
-    counts = texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pages = counts.where("h = 0").select(F.col("n").alias("pages"))
-    rows = counts.crossJoin(F.broadcast(pages)).where(f"h = 0 or n >= greatest(3, {GLUE} * pages)").toArrow()  # one row of pages
-    h, n = rows.column("h").to_numpy(), rows.column("n").to_numpy()
-    return np.sort(h[h != 0].view(np.uint64)), int(n[h == 0].sum())
+    counts = stage(texts.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "p8-words")
+    pages = sum(r.n for r in counts.where("h = 0").select("n").collect())  # one row
+    h = counts.where(f"h <> 0 and n >= {max(3, GLUE * pages)}").select("h").toArrow().column(0).to_numpy()
+    return np.sort(h.view(np.uint64)), pages
 
 
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", training_pages: int = TRAINING_PAGES) -> Model:
