@@ -75,6 +75,28 @@ def test_components_in_one_task_and_beyond_the_bound(spark, bound):
     assert {(r.group_id, r.id) for r in consolidate.components(df, task_edges=bound).collect()} == brute_groups(links)
 
 
+def test_no_task_of_consolidation_exceeds_its_bound(spark, tmp_path, monkeypatch):
+    """One chain in order, one hub with a third of all rows and many pairs: far more linked ids than one task may hold."""
+    bound, folder = 400, str(tmp_path)
+
+    class Counted(consolidate._Trees):
+        def __init__(self, ids, roots, level):
+            import uuid
+
+            super().__init__(ids, roots, level)
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(f"{len(self.ids)} {len(self.names)}")
+
+    monkeypatch.setattr(consolidate, "_Trees", Counted)
+    links = [(f"c{i:05}", f"c{i + 1:05}") for i in range(1200)] + [("hub", f"h{i}") for i in range(1300)] + [(f"p{i}", f"q{i}") for i in range(1000)]
+    links += [("c00007", "h3"), ("q5", "q6"), ("hub", "h1")]
+    df = spark.createDataFrame(links, "a string, b string").repartition(5)
+    found = {(r.group_id, r.id) for r in consolidate.components(df, task_edges=bound).collect()}
+    assert found == brute_groups(links) and len(found) > 5 * bound
+    sizes = [int((tmp_path / f.name).read_text().split()[0]) for f in tmp_path.iterdir()]
+    assert len(sizes) > 20 and max(sizes) <= 1.25 * bound  # hashed partitions are a little uneven
+
+
 def test_components_of_nothing_and_record_links(spark):
     assert consolidate.components(spark.createDataFrame([], "a string, b string")).count() == 0
     pairs = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.49), ("d", "d", 0.9), (None, "e", 0.9), ("x", "y", None)], "id_a string, id_b string, similarity double")

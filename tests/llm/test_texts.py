@@ -80,7 +80,6 @@ def test_a_long_name_list_is_joined_instead_of_held(spark):
     rows = spark.createDataFrame([("synth_records", str(i), t) for i, t in enumerate(texts * 2)], "origin string, rec_key string, text string")
     held, joined = ({tuple(r) for r in pii.find_items(rows, names, most).collect()} for most in (1000, 3))
     assert held == joined and len(held) == 12
-    assert pii.find_items(texts.limit(0), names).count() == 0
 
 
 CLEAN = {
