@@ -160,3 +160,10 @@ def shares(used: DataFrame, targets: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     joined = targets.where("source is not null").select("source", "target_share").distinct().join(per, "source", "left").crossJoin(F.broadcast(whole))
     return joined.select("source", "target_share", F.round(F.coalesce(F.col("tokens_used") / F.col("whole"), F.lit(0.0)), 6).alias("actual_share"), zero("tokens_used"), zero("documents_used"), zero("most_uses"))
+
+
+def checked(used: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, documents, above_cap): documents of each source (null is one) and uses above its repeats, which must be 0."""
+    caps = targets.where("source is not null").select("source", "max_repeats").distinct()
+    over = F.greatest(F.col("n_uses") - F.coalesce("max_repeats", F.lit(0)), F.lit(0))
+    return used.join(F.broadcast(caps), "source", "left").groupBy("source").agg(F.count("*").alias("documents"), F.sum(over.cast("long")).alias("above_cap"))

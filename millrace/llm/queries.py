@@ -63,6 +63,10 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p6_packed(spark, sf_dir), _table(spark, sf_dir, "pack_specs"))
 
 
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.checked(p6_packed(spark, sf_dir), _table(spark, sf_dir, "pack_specs"))
+
+
 def p7_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",))
     return mixing.mix(sizes, _table(spark, sf_dir, "mix_targets"))
@@ -72,6 +76,10 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
 
 
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.checked(p7_mixed(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_pages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -206,6 +206,41 @@ def test_nnls_meets_an_exact_histogram():
     assert (used <= counts).all() and used[10] >= 99
 
 
+def test_pricing_equals_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    slope = rng.normal(size=13)
+    slope[[3, 7]] = -np.inf
+    value, combination = packing._Pricing(12, 1, 4)(slope)
+    every = [c for k in range(1, 5) for c in itertools.combinations_with_replacement(range(1, 13), k) if sum(c) in (11, 12)]
+    best = max(every, key=lambda c: slope[list(c)].sum())
+    assert np.isclose(value, slope[list(best)].sum()) and np.isclose(slope[list(combination)].sum(), value) and len(combination) <= 4
+
+
+@pytest.mark.parametrize(("n", "capacity", "least_fill"), [(1000, 4096, 0.985), (1000, 256, 0.9), (30_000, 1024, 0.99), (3, 4096, 0.0), (0, 100, 0.0)])
+def test_most_tokens_are_planned_by_least_squares(n, capacity, least_fill):
+    """At every capacity, with many and with few items; every item stands in the plan once."""
+    rng = random.Random(7)
+    counts = {}
+    for _ in range(n):
+        size = min(capacity - 1, max(1, int(rng.lognormvariate(5, 0.9))))
+        counts[size] = counts.get(size, 0) + 1
+    runs = packing.plan(counts, capacity)
+    back = {}
+    for sizes, k, _ in runs:
+        assert sum(sizes) <= capacity and k > 0
+        for size in sizes:
+            back[size] = back.get(size, 0) + k
+    assert back == counts
+    tokens = sum(s * k for s, k in counts.items())
+    if n >= 1000:
+        assert sum(sum(sizes[:planned]) * k for sizes, k, planned in runs) >= 0.75 * tokens
+        assert tokens / (capacity * sum(k for _, k, _ in runs)) >= least_fill
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(1)
     sizes = [(i, int(min(900, rng.lognormvariate(4, 0.8)))) for i in range(1500)] + [(9001, 0), (9002, 256), (9003, 600), (None, 5), (0, None)]
@@ -225,6 +260,9 @@ def test_packing_is_whole_and_tight(spark):
         full = [v for v in room.values() if v]
         assert sum(full) / (len(full) * cap) > 0.97
     assert packing.pack(df.limit(0), specs).count() == 0 and packing.pack(df, specs.limit(0)).count() == 0
+    packed = packing.pack(df, specs)
+    assert {tuple(r) for r in packing.checked(packed, specs).collect()} == {("short", 1504, 0, 0), ("long", 1504, 0, 0)}
+    assert all(r.fill_share > 0.97 and r.planned_share > 0.7 for r in packing.fill(packed, specs.where("capacity_tokens > 0")).collect())
 
 
 def test_mix_meets_shares_and_caps(spark):
