@@ -261,7 +261,7 @@ def test_packing_is_whole_and_tight(spark):
         assert sum(full) / (len(full) * cap) > 0.97
     assert packing.pack(df.limit(0), specs).count() == 0 and packing.pack(df, specs.limit(0)).count() == 0
     packed = packing.pack(df, specs)
-    assert {tuple(r) for r in packing.checked(packed, specs).collect()} == {("short", 1504, 0, 0), ("long", 1504, 0, 0)}
+    assert {tuple(r) for r in packing.checked(packed, specs).collect()} == {("short", 1503, 0, 0), ("long", 1503, 0, 0)}
     assert all(r.fill_share > 0.97 and r.planned_share > 0.7 for r in packing.fill(packed, specs.where("capacity_tokens > 0")).collect())
 
 
