@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from millrace.config import DedupConfig
 from millrace.functions.text import jaccard, normalize, shingles
 from millrace.operators.components import connected_components
+from millrace.plans.skew import join_groups
 from millrace.plans.staging import stage
 
+#: A band shared by so many representatives is dealt over so many salts.
+HOT_BAND, SALTS = 500, 32
+
 
 def exact_groups(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     """(text_sha, rows, survivor): normalized texts that occur more than once."""
@@ -28,10 +32,16 @@ def exact_groups(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     return df.groupBy(sha.alias("text_sha")).agg(F.count("*").alias("rows"), F.min(F.col(cfg.id_column).cast("string")).alias("survivor")).where("rows > 1")
 
 
+def text_key(text, mode: str):
+    """What stands for a normalized text in groups and joins: its SHA-256, 32 bytes whatever its length."""
+    return F.unhex(F.sha2(normalize(text, mode), 256))
+
+
 def representatives(df: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(rep, norm): one row per normalized text, named by its smallest id."""
+    """(key, rep, norm): one row per normalized text, named by its smallest id."""
     rows = df.where(F.col(cfg.id_column).isNotNull())
-    return rows.groupBy(normalize(F.col(cfg.text_column), cfg.normalize).alias("norm")).agg(F.min(F.col(cfg.id_column).cast("string")).alias("rep"))
+    norm = normalize(F.col(cfg.text_column), cfg.normalize)
+    return rows.groupBy(text_key(F.col(cfg.text_column), cfg.normalize).alias("key")).agg(F.min(F.col(cfg.id_column).cast("string")).alias("rep"), F.any_value(norm).alias("norm"))
 
 
 def _signatures(num_perm: int, seed: int):
@@ -71,25 +81,39 @@ def estimate(a, b, num_perm: int):
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) / num_perm
 
 
+def _band_keys(num_perm: int, bands: int):
+    """Band number and hash of each band of a signature."""
+    rows = num_perm // bands
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
+
+
 def candidate_pairs(signed: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(a, b), a < b: distinct pairs of representatives that share a band."""
-    rows = cfg.num_perm // cfg.bands
-    bands = F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * rows + 1, rows)))
-    posts = signed.select("rep", F.explode(bands).alias("band"))
-    left, right = posts.select(F.col("rep").alias("a"), "band"), posts.select(F.col("rep").alias("b"), "band")
-    return left.join(right, "band").where("a < b").select("a", "b").distinct()
+    """(a, b), a < b: distinct pairs of representatives that share a band.
+
+    A band that ``HOT_BAND`` representatives share is dealt over ``SALTS``
+    salts, so that no task compares all of its members.
+    """
+    posts = stage(signed.select("rep", F.explode(_band_keys(cfg.num_perm, cfg.bands)).alias("band")), "dedup-bands")
+    # At most (representatives x bands) / HOT_BAND of them; the list is joined, and broadcast only where Spark finds it small.
+    hot = posts.groupBy("band").count().where(F.col("count") >= HOT_BAND).select("band", F.lit(True).alias("hot"))
+    marked = posts.join(hot, "band", "left")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    left = marked.select(F.col("rep").alias("a"), "band", salt.alias("salt"))
+    right = marked.select(F.col("rep").alias("b"), "band", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return left.join(right, ["band", "salt"]).where("a < b").select("a", "b").distinct()
 
 
 def near_pairs(df: DataFrame, cfg: DedupConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reps, pairs): representatives and their verified pairs (a, b, similarity)."""
+    """(reps, pairs): representatives (key, rep) and their verified pairs (a, b, similarity)."""
     cfg = cfg or DedupConfig()
-    reps = stage(representatives(df, cfg), "dedup-reps")
-    shingled = stage(reps.select("rep", shingles(F.col("norm"), cfg.shingle_size).alias("shingles")), "dedup-shingles")
-    pairs = candidate_pairs(stage(signatures(shingled, cfg), "dedup-signatures"), cfg)
-    a = shingled.select(F.col("rep").alias("a"), F.col("shingles").alias("_x"))
-    b = shingled.select(F.col("rep").alias("b"), F.col("shingles").alias("_y"))
+    hashes = F.transform(shingles(F.col("norm"), cfg.shingle_size), lambda s: F.xxhash64(s))
+    reps = stage(representatives(df, cfg).select("key", "rep", hashes.alias("hashes")), "dedup-reps")
+    signed = reps.select("rep", "hashes").mapInArrow(_signatures(cfg.num_perm, cfg.seed), "rep string, signature array<long>")
+    pairs = stage(candidate_pairs(signed, cfg), "dedup-candidates")
+    a = reps.select(F.col("rep").alias("a"), F.col("hashes").alias("_x"))
+    b = reps.select(F.col("rep").alias("b"), F.col("hashes").alias("_y"))
     verified = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity"))
-    return reps, stage(verified.where(F.col("similarity") >= cfg.threshold), "dedup-pairs")
+    return reps.select("key", "rep"), stage(verified.where(F.col("similarity") >= cfg.threshold), "dedup-pairs")
 
 
 def clusters(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
@@ -102,15 +126,21 @@ def clusters(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
 
 
 def grouped(df: DataFrame, reps: DataFrame, pairs: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """The clusters of ``df`` by these pairs of representatives."""
+    """The clusters of ``df`` by these pairs of representatives.
+
+    A text or a group may own any share of all rows: both joins deal hot keys over salts.
+    """
     roots = connected_components(pairs, "a", "b").select(F.col("node").alias("rep"), "root")
-    of_text = reps.join(roots, "rep", "left").select("norm", "rep", F.coalesce("root", "rep").alias("survivor"))
-    rows = df.where(F.col(cfg.id_column).isNotNull()).select(F.col(cfg.id_column).cast("string").alias("id"), normalize(F.col(cfg.text_column), cfg.normalize).alias("norm"))
+    rows = df.where(F.col(cfg.id_column).isNotNull()).select(F.col(cfg.id_column).cast("string").alias("id"), text_key(F.col(cfg.text_column), cfg.normalize).alias("key"))
+    rows = stage(rows, "dedup-keys")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    # A text belongs to a group of two and more if it has copies or stands in a component.
+    of_text = reps.join(sizes, "key").join(roots, "rep", "left").where("n > 1 or root is not null")
     # The least representative of a component is the least id of the group.
-    named = stage(rows.join(of_text, "norm").select("id", "survivor", (F.col("rep") == F.col("survivor")).alias("exact")), "dedup-named")
-    several = named.groupBy("survivor").agg(F.count("*").alias("n")).where("n > 1")
-    kind = F.when(F.col("id") == F.col("survivor"), "kept").when(F.col("exact"), "exact").otherwise("near")
-    return named.join(several, "survivor").select("id", "survivor", kind.alias("kind"))
+    of_text = stage(of_text.select("key", "rep", "n", F.coalesce("root", "rep").alias("survivor")), "dedup-texts")
+    named = join_groups(rows, of_text, "key", "n", F.col("id"))
+    kind = F.when(F.col("id") == F.col("survivor"), "kept").when(F.col("rep") == F.col("survivor"), "exact").otherwise("near")
+    return named.select("id", "survivor", kind.alias("kind"))
 
 
 def removed(clustered: DataFrame) -> DataFrame:

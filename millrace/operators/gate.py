@@ -52,7 +52,8 @@ def summary(annotated: DataFrame, cfg: GateConfig | None = None) -> DataFrame:
 
 def reason_histogram(annotated: DataFrame) -> DataFrame:
     """Hits per rule; a row that fails two rules counts for both."""
-    return annotated.select(F.explode("_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("hits"))
+    # The outer form: an inner explode would make the optimizer test the array, and so run the rules, twice.
+    return annotated.select(F.explode_outer("_reasons").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("hits"))
 
 
 def contract_violations(df: DataFrame, id_column: str = "id", text_column: str = "text", min_words: int = 5) -> DataFrame:
@@ -65,6 +66,17 @@ def contract_violations(df: DataFrame, id_column: str = "id", text_column: str =
     return first.crossJoin(repeats)  # one row each
 
 
+class ContractError(ValueError):
+    """Rows break the contract of the silver layer."""
+
+
+def assert_contract(df: DataFrame, id_column: str = "id", text_column: str = "text", min_words: int = 5) -> None:
+    """Raises with the counts of all violations, if there are any."""
+    broken = {k: v for k, v in contract_violations(df, id_column, text_column, min_words).first().asDict().items() if v}
+    if broken:
+        raise ContractError(f"silver contract broken: {', '.join(f'{k} {v}' for k, v in broken.items())}")
+
+
 def exclude_quarantined(bronze: DataFrame, quarantine: DataFrame, id_column: str = "id") -> DataFrame:
     """Bronze rows whose id is not in quarantine."""
     return bronze.join(quarantine.select(id_column).distinct(), id_column, "left_anti")

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import filled, strip, word_count
+from millrace.functions.text import SPACE, filled, strip
 
 #: Phrases of page chrome that the boilerplate rule counts.
 BOILERPLATE_MARKERS = (
@@ -51,11 +51,15 @@ def _non_empty(text: Column, cfg) -> Column:
 
 
 def _min_words(text: Column, cfg) -> Column:
-    return word_count(text) >= cfg.min_words
+    # As many words as asked for, and no count of the rest of the text.
+    more = rf"(?:{NOT_SPACE}++{SPACE}++){{{cfg.min_words - 1}}}" if cfg.min_words > 1 else ""
+    return filled(text).rlike(more + NOT_SPACE) if cfg.min_words > 0 else F.lit(True)
 
 
 def _no_mojibake(text: Column, cfg) -> Column:
-    return ~(filled(text).rlike(MOJIBAKE) | filled(text).rlike(CONTROLS))
+    t = filled(text)
+    # All signatures hold a sign beyond ASCII, so most texts need no search for them.
+    return ~(((F.octet_length(t) > F.length(t)) & t.rlike(MOJIBAKE)) | t.rlike(CONTROLS))
 
 
 def _no_boilerplate_markers(text: Column, cfg) -> Column:
@@ -71,8 +75,8 @@ def _no_repeated_sentences(text: Column, cfg) -> Column:
 
 def _no_pii(text: Column, cfg) -> Column:
     t = filled(text)
-    # The plain search for the sign spares most texts the costly pattern.
-    return ~((F.contains(t, F.lit("@")) & t.rlike(EMAIL)) | t.rlike(PHONE) | t.rlike(SSN))
+    # Plain searches for the sign and for three digits spare most texts the costly patterns.
+    return ~((F.contains(t, F.lit("@")) & t.rlike(EMAIL)) | (t.rlike(r"\p{Nd}{3}") & (t.rlike(PHONE) | t.rlike(SSN))))
 
 
 #: The registry is the extension point: name -> predicate (true: the text passes).

@@ -45,19 +45,25 @@ def _shingled(size: int, source: str, key: str, text: str) -> str:
       from (select {key}, {words} as w from {source})"""
 
 
-_REPS = f"{_PAGES}, rows_ as (select id, {_NORM} as norm from pages), reps as (select norm, min(id) as rep from rows_ group by norm)"
-_NEAR = f"""{_REPS},
+_REPS = f"rows_ as (select id, {_NORM} as norm from %s where id is not null), reps as (select norm, min(id) as rep from rows_ group by norm)"
+_PAIRS = f"""{_REPS},
   sh as ({_shingled(5, "reps", "rep", "norm")}),
   n as (select rep, count(*) as n from sh group by rep),
   c as (select x.rep as a, y.rep as b, count(*) as k from sh x join sh y on x.shingle = y.shingle and x.rep < y.rep group by all),
   pairs as (select a, b, k / (na.n + nb.n - k) as similarity from c join n na on na.rep = a join n nb on nb.rep = b where k / (na.n + nb.n - k) >= 0.8)"""
-_CLUSTERS = f"""with recursive {_NEAR},
+_NEAR = f"{_PAGES}, {_PAIRS % 'pages'}"
+_GROUPED = """
   e as (select a, b from pairs union all select b, a from pairs),
   reach as (select rep as node, rep as other from reps union select reach.node, e.b from reach join e on e.a = reach.other),
   roots as (select node as rep, min(other) as survivor from reach group by node),
   named as (select r.id, t.survivor, p.rep = t.survivor as exact from rows_ r join reps p on r.norm = p.norm join roots t on t.rep = p.rep),
   sized as (select survivor from named group by survivor having count(*) > 1),
   clustered as (select id, survivor, case when id = survivor then 'kept' when exact then 'exact' else 'near' end as kind from named where survivor in (select survivor from sized))"""
+_CLUSTERS = f"with recursive {_NEAR},{_GROUPED}"
+# Bronze without quarantine.
+_UNIVERSE = f"{_GATED}, u as (select id, text, gt_kind, gt_dup_of from g where id is null or id not in (select id from g where reasons <> '' and id is not null))"
+_SCORED_PAIRS = f"with recursive {_UNIVERSE}, {_PAIRS % 'u'}"
+_SCORED = f"{_SCORED_PAIRS},{_GROUPED}"
 
 
 def _dist(name: str, source: str) -> str:
@@ -127,7 +133,7 @@ ORACLES: dict[str, str] = {
     "near_dup_pairs": f"with {_NEAR} select a, b, round(similarity, 6) as similarity from pairs",
     "jaccard_pairs": f"""with r as (select id, any_value(text) as text from synth_records where id is not null group by id), sh as ({_shingled(5, "r", "id", "text")}),
         n as (select r.id, count(shingle) as n from r left join sh on r.id = sh.id group by r.id),
-        m as (select distinct id_a, id_b from match_pairs where id_a < id_b and similarity >= 0.5),
+        m as (select distinct least(id_a, id_b) as id_a, greatest(id_a, id_b) as id_b from match_pairs where id_a <> id_b and similarity >= 0.5),
         k as (select id_a, id_b, count(*) as k from m join sh x on x.id = id_a join sh y on y.id = id_b and x.shingle = y.shingle group by all)
         select m.id_a, m.id_b, round(case when na.n + nb.n = 0 then 1.0 else coalesce(k, 0) / (na.n + nb.n - coalesce(k, 0)) end, 6) as similarity
         from m join n na on na.id = m.id_a join n nb on nb.id = m.id_b left join k on k.id_a = m.id_a and k.id_b = m.id_b""",
@@ -138,7 +144,21 @@ ORACLES: dict[str, str] = {
     "dedup_summary": f"""{_CLUSTERS} select (select count(*) from pages) as input_rows, (select count(distinct survivor) from clustered) as clusters,
         coalesce((select max(n) from (select count(*) as n from clustered group by survivor)), 1) as largest_cluster,
         (select count(*) from clustered where kind = 'exact') as removed_exact, (select count(*) from clustered where kind = 'near') as removed_near""",
-    "dedup_threshold_sweep": f"with {_NEAR} select cast(t as double) as threshold, count(*) as pairs from pairs, (select unnest([0.8, 0.85, 0.9, 0.95]) as t) where similarity >= t group by t",
+    "dedup_threshold_sweep": f"""{_SCORED_PAIRS},
+        t as (select cast(unnest([0.8, 0.85, 0.9, 0.95]) as double) as t),
+        e as (select t, a, b from pairs, t where similarity >= t union all select t, b, a from pairs, t where similarity >= t),
+        reach as (select t, rep as node, rep as other from reps, t union select reach.t, reach.node, e.b from reach join e on e.a = reach.other and e.t = reach.t),
+        roots as (select t, node as rep, min(other) as survivor from reach group by all),
+        named as (select r.t, q.id, r.survivor, p.rep = r.survivor as exact from rows_ q join reps p on q.norm = p.norm join roots r on r.rep = p.rep),
+        gone as (select t, id, case when exact then 'exact' else 'near' end as kind from named where id <> survivor),
+        flagged as (select t.t, u.gt_kind as kind, u.gt_dup_of is not null as truth, coalesce(u.id in (select id from gone where gone.t = t.t), false) as hit from u, t),
+        cells as (select t, count(*) filter (truth and hit) as tp, count(*) filter (not truth and hit) as fp, count(*) filter (truth and not hit) as fn, count(*) filter (not truth and not hit) as tn from flagged group by t),
+        pr as (select *, case when tp + fp = 0 then 1.0 else tp / (tp + fp) end as p, case when tp + fn = 0 then 1.0 else tp / (tp + fn) end as r from cells),
+        k as (select t, string_agg(s, ',' order by s) as recall_by_kind from (select t, kind || '=' || printf('%.4f', round(count(*) filter (hit) / count(*), 4)) as s from flagged where truth and kind is not null group by t, kind) group by t)
+        select t.t as threshold, (select count(*) from pairs where similarity >= t.t) as pairs, (select count(distinct id) from gone where gone.t = t.t) as removed,
+            (select count(*) from gone where gone.t = t.t and kind = 'exact') as removed_exact, (select count(*) from gone where gone.t = t.t and kind = 'near') as removed_near,
+            tp, fp, fn, tn, round(p, 4) as precision, round(r, 4) as recall, round(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end, 4) as f1, recall_by_kind
+        from t join pr on pr.t = t.t join k on k.t = t.t""",
     "profile_source_dist": f"with {_dist('s', 'synth_records')} select source, rows, round(share, 6) as share from s",
     "profile_length_dist": f"with {_lens('l', 'synth_records')} select cast(bin as int) as bin, cast(rows as bigint) as rows, round(share, 6) as share from l",
     "profile_whole": f"""with {_PAGES}, {_dist('s', 'pages')}, {_lens('l', 'documents')} select (select count(*) from pages) as n_rows,
@@ -165,8 +185,8 @@ ORACLES: dict[str, str] = {
     "score_gate": f"{_FLAGGED} {_CONFUSION}",
     "score_recall_by_kind": f"{_FLAGGED} select gt_kind as kind, count(*) as rows, count(*) filter (hit) as hits, round(count(*) filter (hit) / count(*), 4) as rate from flagged group by 1",
     "removed_flag": f"with {_GATED} select id, coalesce(id in (select id from g where reasons <> '' and id is not null), false) as removed from g",
-    "score_dedup": f"""with k as (select *, {_NORM} as norm from synth_records), s as (select norm, min(id) as survivor from k group by norm having count(*) > 1),
-        flagged as (select gt_dup_of is not null as truth, coalesce(s.survivor <> k.id, false) as hit from k left join s on k.norm = s.norm) {_CONFUSION}""",
+    "score_dedup": f"""{_SCORED}, flagged as (select text, gt_dup_of, gt_dup_of is not null as truth, coalesce(id in (select id from clustered where kind <> 'kept'), false) as hit from u)
+        select *, (select count(*) from flagged where hit and gt_dup_of is null and coalesce(text, '') in (select coalesce(text, '') from flagged group by 1 having count(*) > 1)) as fp_unlabeled_exact from ({_CONFUSION})""",
     "batch_stream_symdiff": """with a as (select id from synth_records where id is not null), b as (select id_a as id from match_pairs where id_a is not null union all select id_b from match_pairs where id_b is not null)
         select count(*) as differing from ((select * from a except select * from b) union all (select * from b except select * from a))""",
     "dense_record_ids": "select doc_id, 'rec-' || lpad(cast(row_number() over (order by source nulls first, doc_id) - 1 as varchar), 8, '0') as record_id from documents",
