@@ -18,7 +18,7 @@ def _canonical(value) -> str:
 
 
 def build_manifest(catalog: Catalog, layer: str, dataset: str) -> dict:
-    """Layer, dataset, rows, schema, parts (name, sha256, rows) and the hash over the sorted parts.
+    """Layer, dataset, rows, schema, parts (name, sha256, rows) and the hash over the lines ``name:sha256`` of the sorted parts.
 
     The list of parts comes to the driver: one entry per file.
     """
@@ -29,7 +29,7 @@ def build_manifest(catalog: Catalog, layer: str, dataset: str) -> dict:
     found = {r.part: r.sha256 for r in files.toLocalIterator()}
     counts = {r.part: r["count"] for r in rows.toLocalIterator()}
     parts = [{"name": n, "sha256": s, "rows": counts.get(n, 0)} for n, s in sorted(found.items())]
-    lines = sorted(p["sha256"] for p in parts)
+    lines = [f"{p['name']}:{p['sha256']}" for p in parts]
     return {
         "layer": layer,
         "dataset": dataset,
@@ -48,11 +48,10 @@ def snapshot_stage(catalog: Catalog, stage: str, dataset: str, config, inputs: l
     out = [output["layer"], output["dataset"], output["content_hash"]] if output else None
     key = _canonical({"stage": stage, "config_hash": config_hash, "inputs": pins, "code_version": millrace.__version__, "output": out})
     record = {
-        "seq": len(catalog.events("snapshots")) + 1, "snapshot_id": hashlib.sha256(key.encode()).hexdigest()[:12], "stage": stage, "dataset": dataset,
+        "snapshot_id": hashlib.sha256(key.encode()).hexdigest()[:12], "stage": stage, "dataset": dataset,
         "created_at": datetime.now(UTC).isoformat(), "code_version": millrace.__version__, "config": held, "config_hash": config_hash, "inputs": pins, "output": out,
     }
-    catalog.append_event("snapshots", record)
-    return record
+    return catalog.append_event("snapshots", record)
 
 
 def list_snapshots(catalog: Catalog) -> list[dict]:
@@ -75,8 +74,7 @@ def verify_snapshot(catalog: Catalog, snapshot_id: str) -> tuple[bool, str]:
 
 
 def emit_event(catalog: Catalog, job: str, inputs: list[str], outputs: list[str], **facets) -> None:
-    seq = len(catalog.events("lineage")) + 1
-    catalog.append_event("lineage", {"seq": seq, "eventTime": datetime.now(UTC).isoformat(), "job": job, "inputs": inputs, "outputs": outputs, "facets": facets})
+    catalog.append_event("lineage", {"eventTime": datetime.now(UTC).isoformat(), "job": job, "inputs": inputs, "outputs": outputs, "facets": facets})
 
 
 def lineage_frame(catalog: Catalog):

@@ -2,8 +2,9 @@
 
 Executors may be lost at any time, so lineage is cut only with tables written
 to the folder all executors share.  The cluster names that folder in
-``spark.checkpoint.dir``; only where it is unset (tests, notebooks) a folder of
-this process is set instead.
+``spark.checkpoint.dir``; only where it is unset and all executors run on this
+machine (tests, notebooks) a folder of this process is set instead.  ``unstage``
+deletes what a session has staged, once its results have been written.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(_OWN[app])
@@ -33,4 +37,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession) -> int:
+    """Delete the tables that this session has staged; returns how many. Frames built on them can be read no more."""
+    staged = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in staged:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(staged)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,13 +64,18 @@ class Catalog:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self._fs.exists(p):
-            self._fs.delete(p, False)
-        self._fs.rename(tmp, p)
-
-    def append_event(self, name: str, event: dict) -> None:
-        """One JSON file per event under ``_log/<name>``: appends never rewrite."""
-        self.write_text(f"{self.root}/_log/{name}/{event['seq']:012d}-{uuid.uuid4().hex[:8]}.json", json.dumps(event, sort_keys=True, ensure_ascii=False))
+        # One rename over the old file: readers and crashes see the old or the new text.
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else fs.Path(self.root).toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        options[0] = fs.Options.Rename.OVERWRITE
+        context.rename(tmp, p, options)
+
+    def append_event(self, name: str, event: dict) -> dict:
+        """One JSON file per event under ``_log/<name>``: appends never rewrite. The event gets a ``seq`` that rises with time, without reading the log."""
+        event = {"seq": time.time_ns()} | event
+        self.write_text(f"{self.root}/_log/{name}/{event['seq']:020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(event, sort_keys=True, ensure_ascii=False))
+        return event
 
     def events(self, name: str) -> list[dict]:
         base = self._path(f"{self.root}/_log/{name}")
@@ -128,6 +134,10 @@ class Catalog:
         """Publish one bronze batch under its hash; publishing the same batch again replaces it by itself."""
         df.write.mode("overwrite").parquet(f"{self._dir('bronze', dataset)}/data/_batch_hash={batch}")
 
+    def append_all(self, df: DataFrame, dataset: str) -> None:
+        """Publish several bronze batches, named by the column ``_batch_hash``, in one write; each replaces itself only."""
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch_hash").parquet(f"{self._dir('bronze', dataset)}/data")
+
     def replace(self, df: DataFrame, layer: str, dataset: str, part_rows: int = 1_000_000) -> str:
         """Write a new version and switch to it; returns the version. Refuses bronze."""
         if layer == "bronze":
