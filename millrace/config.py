@@ -29,10 +29,11 @@ class GateConfig:
 @dataclass(frozen=True)
 class DedupConfig:
     normalize: str = "whitespace"
-    shingle_size: int = 3
+    shingle_size: int = 5
     num_perm: int = 128
     bands: int = 32
-    threshold: float = 0.5
+    threshold: float = 0.8
+    backend: str = "bands"
     seed: int = 0
     text_column: str = "text"
     id_column: str = "id"
@@ -41,6 +42,8 @@ class DedupConfig:
     def __post_init__(self) -> None:
         if self.normalize not in ("none", "whitespace", "aggressive"):
             raise ValueError("normalize must be none, whitespace or aggressive")
+        if self.backend not in ("bands", "mllib"):
+            raise ValueError("backend must be bands or mllib")
         if self.num_perm < 2 or self.bands < 1 or self.num_perm % self.bands:
             raise ValueError(f"bands ({self.bands}) must divide num_perm ({self.num_perm})")
         if not 0 < self.threshold <= 1:

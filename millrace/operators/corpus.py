@@ -38,8 +38,14 @@ def _body(rng: np.random.Generator, source: str) -> str:
 
 def _edited(rng: np.random.Generator, text: str) -> str:
     words = text.split()
-    for _ in range(max(1, int(len(words) * rng.uniform(0.03, 0.06)))):
-        words[int(rng.integers(len(words)))] = _NOUNS[int(rng.integers(len(_NOUNS)))]
+    for _ in range(max(1, int(len(words) * rng.uniform(0.08, 0.15)))):
+        at, what = int(rng.integers(len(words))), int(rng.integers(3))
+        if what == 0 and len(words) > 5:
+            del words[at]
+        elif what == 1:
+            words.insert(at, _NOUNS[int(rng.integers(len(_NOUNS)))])
+        else:
+            words[at] = _NOUNS[int(rng.integers(len(_NOUNS)))]
     out = " ".join(words)
     return out if out != text else text + " (edited)"
 
@@ -51,6 +57,13 @@ def _junk(kind: str, i: int) -> str:
     return {"junk_empty": "  ", "junk_short": "ok then", "junk_boilerplate": f"Accept cookies. Privacy policy. Click here number {i} to go on reading.", "junk_mojibake": f"The cafÃ© number {i} served a crÃªpe to all of us today."}[kind]
 
 
+def corpus_hash(df: DataFrame) -> str:
+    """Identity of a corpus by its rows in the order of their ids."""
+    from millrace.sources.ingest import batch_hash
+
+    return batch_hash(df, order=["id", *[c for c in df.columns if c != "id"]])
+
+
 def generate(spark: SparkSession, cfg: CorpusConfig | None = None) -> DataFrame:
     """Corpus records with labels: clean, exact_dup, near_dup, junk_*, pii."""
     cfg = cfg or CorpusConfig()
@@ -82,7 +95,7 @@ def generate(spark: SparkSession, cfg: CorpusConfig | None = None) -> DataFrame:
                 text = _junk(kind, k)
             else:
                 kind, text = "pii", f"{original(k + n)[1]} Write to person{k}@mail.example or (555) 01{k % 100:02d}."
-        moment = pd.Timestamp("2026-01-01", tz="UTC") + pd.Timedelta(seconds=step * (at if of is None else at + 0.5) + (60 if of is not None else 0))
+        moment = pd.Timestamp("2026-01-01", tz="UTC") + pd.Timedelta(seconds=min(cfg.span_days * 86_400 - 1, step * (at if of is None else at + 0.5) + (60 if of is not None else 0)))
         return f"rec-{k:06d}", text, source, moment.isoformat(), kind, None if of is None else f"rec-{of:06d}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

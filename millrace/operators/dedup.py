@@ -103,26 +103,53 @@ def candidate_pairs(signed: DataFrame, cfg: DedupConfig) -> DataFrame:
     return left.join(right, ["band", "salt"]).where("a < b").select("a", "b").distinct()
 
 
-def near_pairs(df: DataFrame, cfg: DedupConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reps, pairs): representatives (key, rep) and their verified pairs (a, b, similarity)."""
+def _mllib_pairs(reps: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """Candidates of Spark ML's MinHash tables: one table per band, each of a single function, so many more candidates."""
+    from pyspark.ml.feature import MinHashLSH
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    size = 1 << 20
+    places = F.array_sort(F.array_distinct(F.transform("hashes", lambda h: F.pmod(h, F.lit(size)))))
+
+    @F.udf(VectorUDT())
+    def sparse(at: list[int]) -> SparseVector:
+        return SparseVector(size, at, [1.0] * len(at))
+
+    rows = reps.where(F.size("hashes") > 0).select("rep", sparse(places).alias("v"))
+    model = MinHashLSH(inputCol="v", outputCol="h", numHashTables=cfg.bands, seed=cfg.seed).fit(rows)
+    # Buckets of the vectors can collide, so the bound is a little wider; pairs are verified on the hashes themselves.
+    found = model.approxSimilarityJoin(rows, rows, 1.0 - cfg.threshold + 0.02)
+    return found.select(F.col("datasetA.rep").alias("a"), F.col("datasetB.rep").alias("b")).where("a < b").distinct()
+
+
+def near_pairs(df: DataFrame, cfg: DedupConfig | None = None, report: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reps, pairs): representatives (key, rep) and their verified pairs (a, b, similarity).
+
+    ``report`` gets the number of candidate pairs.
+    """
     cfg = cfg or DedupConfig()
     hashes = F.transform(shingles(F.col("norm"), cfg.shingle_size), lambda s: F.xxhash64(s))
     reps = stage(representatives(df, cfg).select("key", "rep", hashes.alias("hashes")), "dedup-reps")
-    signed = reps.select("rep", "hashes").mapInArrow(_signatures(cfg.num_perm, cfg.seed), "rep string, signature array<long>")
-    pairs = stage(candidate_pairs(signed, cfg), "dedup-candidates")
+    if cfg.backend == "mllib":
+        pairs = stage(_mllib_pairs(reps, cfg), "dedup-candidates")
+    else:
+        signed = reps.select("rep", "hashes").mapInArrow(_signatures(cfg.num_perm, cfg.seed), "rep string, signature array<long>")
+        pairs = stage(candidate_pairs(signed, cfg), "dedup-candidates")
+    if report is not None:
+        report["candidate_pairs"] = pairs.count()
     a = reps.select(F.col("rep").alias("a"), F.col("hashes").alias("_x"))
     b = reps.select(F.col("rep").alias("b"), F.col("hashes").alias("_y"))
     verified = pairs.join(a, "a").join(b, "b").select("a", "b", jaccard(F.col("_x"), F.col("_y")).alias("similarity"))
     return reps.select("key", "rep"), stage(verified.where(F.col("similarity") >= cfg.threshold), "dedup-pairs")
 
 
-def clusters(df: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
+def clusters(df: DataFrame, cfg: DedupConfig | None = None, report: dict | None = None) -> DataFrame:
     """(id, survivor, kind) for each row of a group of two and more.
 
     kind: ``kept``, ``exact`` (same normalized text as the survivor) or ``near``.
     """
     cfg = cfg or DedupConfig()
-    return grouped(df, *near_pairs(df, cfg), cfg)
+    return grouped(df, *near_pairs(df, cfg, report), cfg)
 
 
 def grouped(df: DataFrame, reps: DataFrame, pairs: DataFrame, cfg: DedupConfig) -> DataFrame:

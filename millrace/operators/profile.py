@@ -33,6 +33,14 @@ def profile(df: DataFrame, text: str = "text", source: str = "source") -> DataFr
     return df.agg(F.count("*").alias("n_rows")).crossJoin(sources).crossJoin(lengths)  # one row each
 
 
+def profile_of(df: DataFrame, text: str = "text", source: str = "source") -> dict:
+    """The profile as a dict; there is none of an empty dataset."""
+    row = profile(df, text, source).first().asDict()
+    if not row["n_rows"]:
+        raise ValueError("no rows to profile")
+    return row
+
+
 def _psi_term(actual: Column, expected: Column) -> Column:
     a, e = F.greatest(actual, F.lit(EPSILON)), F.greatest(expected, F.lit(EPSILON))
     return (a - e) * F.ln(a / e)

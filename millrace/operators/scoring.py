@@ -33,6 +33,12 @@ def by_kind(flagged: DataFrame, predicted: str, kind: str = "gt_kind") -> DataFr
     return rows.withColumn("rate", F.round(F.col("hits") / F.col("rows"), 4))
 
 
+def dangling_labels(df: DataFrame, truth: str = "gt_dup_of", id_column: str = "id") -> DataFrame:
+    """Rows labelled as copies of a record that is not there. Null ids match nothing."""
+    ids = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_there")).distinct()
+    return df.where(F.col(truth).isNotNull()).join(ids, F.col(truth) == F.col("_there"), "left_anti")
+
+
 def unlabeled_exact_copies(flagged: DataFrame, predicted: str, text: str = "text", truth: str = "gt_dup_of") -> DataFrame:
     """One row: false positives that are exact copies of another row all the same."""
     counts = flagged.groupBy(F.col(text).alias("_t")).agg(F.count("*").alias("_n")).where("_n > 1")

@@ -124,6 +124,17 @@ class ShardReader:
             if given > consumed:
                 yield out
 
+    @staticmethod
+    def state(consumed: int, epoch: int = 0) -> dict[str, int]:
+        """What a run has to keep to go on from here."""
+        return {"consumed": consumed, "epoch": epoch}
+
+    def resume(self, state: dict[str, int], epoch: int | None = None) -> Iterator[list[int]]:
+        """The rest of the state's epoch; another epoch than the state's is an error, as its order differs."""
+        if epoch is not None and epoch != state["epoch"]:
+            raise ValueError(f"the state belongs to epoch {state['epoch']}, not {epoch}")
+        return self.read(state["consumed"], state["epoch"])
+
     @staticmethod
     def _take(held: list, rng: np.random.Generator):
         slot = int(rng.integers(len(held)))

@@ -187,6 +187,7 @@ ORACLES: dict[str, str] = {
     "removed_flag": f"with {_GATED} select id, coalesce(id in (select id from g where reasons <> '' and id is not null), false) as removed from g",
     "score_dedup": f"""{_SCORED}, flagged as (select text, gt_dup_of, gt_dup_of is not null as truth, coalesce(id in (select id from clustered where kind <> 'kept'), false) as hit from u)
         select *, (select count(*) from flagged where hit and gt_dup_of is null and coalesce(text, '') in (select coalesce(text, '') from flagged group by 1 having count(*) > 1)) as fp_unlabeled_exact from ({_CONFUSION})""",
+    "dangling_labels": "select distinct id, gt_dup_of from synth_records where gt_dup_of is not null and gt_dup_of not in (select id from synth_records where id is not null)",
     "batch_stream_symdiff": """with a as (select id from synth_records where id is not null), b as (select id_a as id from match_pairs where id_a is not null union all select id_b from match_pairs where id_b is not null)
         select count(*) as differing from ((select * from a except select * from b) union all (select * from b except select * from a))""",
     "dense_record_ids": "select doc_id, 'rec-' || lpad(cast(row_number() over (order by source nulls first, doc_id) - 1 as varchar), 8, '0') as record_id from documents",

@@ -390,6 +390,12 @@ def removed_flag(spark, d):
     return scoring.flag(r, gate.quarantined(gate.annotate(r, CFG))).select("id", "removed")
 
 
+@query
+def dangling_labels(spark, d):
+    """Labelled copies of records that are not there."""
+    return scoring.dangling_labels(records(spark, d)).select("id", "gt_dup_of").distinct()
+
+
 def _universe(spark, d):
     """Bronze without quarantine."""
     r = records(spark, d)

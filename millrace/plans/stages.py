@@ -13,8 +13,8 @@ from millrace.plans.staging import stage
 from millrace.sources.catalog import Catalog
 
 
-def promote(catalog: Catalog, dataset: str, cfg: GateConfig | None = None) -> dict:
-    """Gate bronze into silver and quarantine. A blocked gate writes and clears nothing."""
+def promote(catalog: Catalog, dataset: str, cfg: GateConfig | None = None, contract: bool = False) -> dict:
+    """Gate bronze into silver and quarantine. A blocked gate, or with ``contract`` a broken contract, writes and clears nothing."""
     cfg = cfg or GateConfig()
     before = build_manifest(catalog, "bronze", dataset)
     noted = stage(gate.annotate(catalog.read("bronze", dataset), cfg), "gate")
@@ -23,6 +23,8 @@ def promote(catalog: Catalog, dataset: str, cfg: GateConfig | None = None) -> di
     if report["verdict"] == "blocked":
         emit_event(catalog, f"promote:{dataset}", [f"bronze/{dataset}"], [], **report)
         return report
+    if contract:
+        gate.assert_contract(gate.promoted(noted), cfg.id_column, cfg.text_column, cfg.min_words)
     catalog.replace(gate.promoted(noted), "silver", dataset, cfg.part_rows)
     catalog.replace(gate.quarantined(noted), "quarantine", dataset, cfg.part_rows)
     emit_event(catalog, f"promote:{dataset}", [f"bronze/{dataset}"], [f"silver/{dataset}", f"quarantine/{dataset}"], **report)
@@ -35,8 +37,12 @@ def deduplicate(catalog: Catalog, dataset: str, cfg: DedupConfig | None = None)
     cfg = cfg or DedupConfig()
     before = build_manifest(catalog, "silver", dataset)
     silver = catalog.read("silver", dataset)
-    found = stage(dedup.clusters(silver, cfg), "dedup-clusters")
-    report = dedup.summary(silver, found).first().asDict()
+    counted: dict = {}
+    found = stage(dedup.clusters(silver, cfg, counted), "dedup-clusters")
+    report = dedup.summary(silver, found).first().asDict() | counted
+    # The removed ids may be any number: they are a dataset beside the report.
+    catalog.replace(dedup.removed(found), "quarantine", f"{dataset}_removed", cfg.part_rows)
+    report["removed_ids"] = f"quarantine/{dataset}_removed"
     catalog.replace(dedup.kept(silver, found, cfg.id_column), "silver", dataset, cfg.part_rows)
     emit_event(catalog, f"dedup:{dataset}", [f"silver/{dataset}"], [f"silver/{dataset}"], **report)
     snapshot_stage(catalog, "dedup", dataset, cfg, [before], build_manifest(catalog, "silver", dataset))
@@ -103,7 +109,31 @@ def quality_report(report: dict) -> str:
     )
 
 
-def dedup_report(report: dict, removed_ids: list[str] | None = None) -> dict:
-    """The deduplication report as JSON-ready data and Markdown."""
-    text = "\n".join(["# Deduplication", "", "| measure | value |", "|-|-|", *(f"| {k} | {v} |" for k, v in report.items())])
-    return report | {"removed_ids": removed_ids or [], "markdown": text}
+def dedup_report(report: dict) -> str:
+    """The deduplication report as Markdown; ``removed_ids`` names the dataset that holds them."""
+    return "\n".join(["# Deduplication", "", "| measure | value |", "|-|-|", *(f"| {k} | {v} |" for k, v in report.items())])
+
+
+def write_report(catalog: Catalog, name: str, report: dict, markdown: str) -> None:
+    """``_reports/<name>.json`` and ``.md`` under the catalog's root."""
+    catalog.write_text(f"{catalog.root}/_reports/{name}.json", json.dumps(report, indent=2, sort_keys=True, default=str, ensure_ascii=False))
+    catalog.write_text(f"{catalog.root}/_reports/{name}.md", markdown + "\n")
+
+
+def sweep(universe: DataFrame, cfg: DedupConfig, thresholds: tuple[float, ...]) -> list[dict]:
+    """Deduplication scored at each threshold; the pairs are formed once, at the least."""
+    from dataclasses import replace as changed
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import scoring
+
+    reps, pairs = dedup.near_pairs(universe, changed(cfg, threshold=min(thresholds)))
+    out = []
+    for t in sorted(thresholds):
+        gone = stage(dedup.removed(dedup.grouped(universe, reps, pairs.where(F.col("similarity") >= t), cfg)), "sweep-gone")
+        flagged = stage(scoring.flag(universe, gone), "sweep-flagged")
+        kinds = {r.kind: r.rate for r in scoring.by_kind(flagged.where("gt_dup_of is not null"), "removed").toLocalIterator()}  # one row per kind of label
+        row = scoring.confusion(flagged, F.col("gt_dup_of").isNotNull(), F.col("removed")).first().asDict()
+        out.append({"threshold": t, "removed": gone.select("id").distinct().count()} | row | {"recall_by_kind": kinds})
+    return out

@@ -80,3 +80,30 @@ def test_reader_resumes_exactly(spark):
     assert sorted(map(tuple, whole)) == sorted(tuple(r.tokens) for r in rows.collect())
     assert list(reader.read(consumed=7)) == whole[7:]
     assert list(reader.read(epoch=1)) != whole
+
+
+def test_reader_refuses_the_state_of_another_epoch(spark):
+    rows = spark.createDataFrame([(i, [i]) for i in range(12)], "seq long, tokens array<int>")
+    reader = sharding.ShardReader(rows, buffer=4, seed=1)
+    state = reader.state(5, epoch=2)
+    assert list(reader.resume(state)) == list(reader.read(0, 2))[5:]
+    with pytest.raises(ValueError, match="epoch 2"):
+        reader.resume(state, epoch=3)
+
+
+def test_asof_of_a_hot_entity_over_many_partitions(spark):
+    """One entity holds most rows, so its features must be carried over partitions; nulls go round the join."""
+    feats = [("hot", t, t) for t in range(0, 4000, 100)] + [("cold", 5, 1), (None, 1, 1), ("hot", None, 7), ("hot", 300, 301)]
+    spine = [(i, "hot", i * 7 % 4100) for i in range(600)] + [(1000, "cold", 4), (1001, "cold", 5), (1002, None, 9), (1003, "hot", None), (1003, "hot", None)]
+    f = spark.createDataFrame(feats, "e string, t long, v long")
+    s = spark.createDataFrame(spine, "i long, e string, t long")
+    got = sorted(((r.i, r.w__v) for r in asof.asof_join(s, f, "e", "t", ["v"], "w", tie=["v"]).collect()), key=str)
+    want = []
+    for i, e, t in spine:
+        held = [(ft, -v) for fe, ft, v in feats if fe == e and e and t is not None and ft is not None and ft <= t]
+        want.append((i, -max(held)[1] if held else None))
+    assert got == sorted(want, key=str)
+    assert asof.latest(f, "e", "t", ["v"]).where("e = 'hot'").first().v == 3900
+    rolled = asof.source_rollup(spark.createDataFrame([("a", str(i), "w " * (i % 5)) for i in range(300)] + [(None, "1", "x"), ("b", None, None)], "source string, timestamp string, text string"))
+    assert rolled.where("source = 'a'").agg({"docs_so_far": "max"}).first()[0] == 300 and rolled.count() == 302
+    assert rolled.where("source = 'a'").select("docs_so_far").distinct().count() == 300

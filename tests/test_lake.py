@@ -155,3 +155,45 @@ def test_feature_store(spark, tmp_path):
     assert store.latest("v", "a")["score"] == 3 and store.latest("v", "zz") is None
     with pytest.raises(ValueError, match="no feature view"):
         store.view("other")
+
+
+def test_command_line_end_to_end(spark, tmp_path, capsys):
+    from millrace import cli
+
+    root = f"file://{tmp_path}/lake"
+    run = lambda *a: cli.main([*a, "--root", root])
+    assert run("synth", f"{tmp_path}/raw.json", "--docs", "60") == 0
+    assert run("ingest", f"{tmp_path}/raw.json", "corpus", "--via-stream") == 0
+    assert run("promote", "corpus") == 0 and run("dedup", "corpus") == 0
+    assert json.loads((tmp_path / "lake/_reports/dedup_corpus.json").read_text())["candidate_pairs"] >= 0
+    assert "# Quality gate" in (tmp_path / "lake/_reports/gate_corpus.md").read_text()
+    capsys.readouterr()
+    assert run("score-dedup", "corpus", "--sweep", "0.8", "0.9") == 0
+    assert [r["threshold"] for r in json.loads(capsys.readouterr().out)] == [0.8, 0.9]
+    assert run("smoke", "--docs", "60") == 0
+    capsys.readouterr()
+    assert run("lineage", "--upstream", "gold/smoke") == 0
+    assert json.loads(capsys.readouterr().out) == ["bronze/smoke", "silver/smoke"]
+
+
+def test_batch_identity_follows_order_and_not_partitions(spark):
+    from millrace.sources.ingest import batch_hash
+
+    rows = [(str(i), "x") for i in range(20)]
+    a = spark.createDataFrame(rows, "id string, text string")
+    assert batch_hash(a) == batch_hash(a.coalesce(1)) != batch_hash(spark.createDataFrame(rows[::-1], "id string, text string"))
+    assert batch_hash(a, ["id"]) == batch_hash(a.repartition(3), ["id"])
+
+
+def test_contract_raises_and_staged_tables_are_deleted(spark):
+    from millrace.operators import gate
+    from millrace.plans import staging
+
+    good = spark.createDataFrame([("1", "one two three four five")], "id string, text string")
+    gate.assert_contract(good)
+    with pytest.raises(gate.ContractError, match="repeated_ids 1"):
+        gate.assert_contract(good.union(good))
+    with pytest.raises(gate.ContractError, match="short_text 1"):
+        gate.assert_contract(spark.createDataFrame([("1", "short")], "id string, text string"))
+    kept = staging.stage(good, "unstaged")
+    assert kept.count() == 1 and staging.unstage(spark) >= 1
