@@ -54,6 +54,10 @@ def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(_table(spark, sf_dir, "synth_records").select("id", "text"))
 
 
+def p5_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.margins(_table(spark, sf_dir, "synth_records").select("id", "text"))
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = count_tokens(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(sizes, _table(spark, sf_dir, "pack_specs"))

@@ -97,7 +97,7 @@ def repairer():
         for forms in CLEAN.values():
             for f in forms:
                 counts.update(encoding._trigrams(f.format(i)))
-    return encoding.Repairer(encoding.Model(dict(counts)))
+    return encoding.Repairer(encoding.Model.of(counts))
 
 
 def test_held_out_clean_text_is_left_alone(repairer):
@@ -129,6 +129,23 @@ def test_held_out_garbled_text_is_restored(repairer):
     assert repairer.text("La canci�n") == (True, "La canci�n", True)
 
 
+def test_margins_are_validated_on_clean_passages(repairer):
+    clean = [f.format(i) for i in range(40) for forms in CLEAN.values() for f in forms]
+    report = encoding.validate(repairer.model, clean)
+    assert report["passages"] > 400 and report["margin_utf8"] == encoding.MARGIN_UTF8 and report["margin_single"] >= encoding.MARGIN_SINGLE
+    assert report["restored_utf8"] > 0.97 and report["restored_single"] > 0.8
+    assert encoding.validate(repairer.model, [])["margin_single"] == encoding.MARGIN_SINGLE
+
+
+def test_every_reading_of_a_level_is_scored():
+    """Texts that decode through more code pages than any fixed number of readings."""
+    chains = encoding.Chains()
+    clean = "Für die Brücke über die Straße"
+    for page in encoding.WRONG:
+        garbled = "".join(encoding._code_page(page)[0][b] for b in clean.encode())
+        assert clean in chains.deep(garbled), page
+
+
 def test_garbled_frames(spark):
     rows = [(str(i), f.format(i)) for i in range(20) for forms in CLEAN.values() for f in forms]
     rows = [(f"{i}-{k}", t) for k, (i, t) in enumerate(rows)]
