@@ -139,6 +139,8 @@ def test_near_duplicates_against_brute_force(spark, hot):
     groups = {r.id: r.group_id for r in run.groups().collect()}
     linked = {x for p in want for x in p}
     assert linked <= set(groups) and all(groups[a] == groups[b] for a, b in want)
+    exact = near_dups.NearDuplicates(spark.createDataFrame(rows, "id string, text string"), exact=True, hot_tile=hot, block=3)
+    assert {(r.id_a, r.id_b) for r in exact.record_pairs().collect()} == set(want)
 
 
 def test_near_duplicates_near_the_threshold_as_registered(spark):
@@ -158,11 +160,20 @@ def test_near_duplicates_near_the_threshold_as_registered(spark):
     run = near_dups.NearDuplicates(spark.createDataFrame(rows, "id string, text string"))
     found = {(r.id_a, r.id_b) for r in run.record_pairs().collect()}
     mins = {r.id: bytes(r.mins) for r in run.sketches.select("id", "mins").collect()}
-    banded = {(a, b) for a, b in true if any(mins[a][i : i + 3] == mins[b][i : i + 3] for i in range(0, 72, 3))}
+    banded = {(a, b) for a, b in true if any(mins[a][i : i + 6] == mins[b][i : i + 6] for i in range(0, 144, 6))}  # bands of three values of 16 bits
     print(f"recall just above 0.5: {len(found & true)} of {len(true)}")
     # Only the bands may miss a pair; nothing after them does.
     assert found == banded
     assert len(found) >= 0.94 * len(true)
+    exact = near_dups.NearDuplicates(spark.createDataFrame(rows, "id string, text string"), exact=True)
+    assert {(r.id_a, r.id_b) for r in exact.record_pairs().collect()} == true
+
+
+def test_bands_keep_their_recall_as_records_grow():
+    assert near_dups.banding(0, 0.5) == near_dups.banding(1_000_000, 0.5) == (3, 24)
+    for n in (1_000_001, 10**7, 10**9, 10**11):
+        rows, bands = near_dups.banding(n, 0.5)
+        assert n <= near_dups.PLAIN_RECORDS * 10 ** (rows - 3) and (1 - 0.5**rows) ** bands <= 0.0401
 
 
 def test_near_duplicates_of_nothing(spark):
