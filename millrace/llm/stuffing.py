@@ -50,6 +50,8 @@ PROSE, CODE, FIGURES, LINK, TAG, MENU = range(6)
 #: Pseudo-counts of the emissions of all lines in each state, and of lines that obey the rule of a state.
 PRIOR = 0.1
 RULED = 5.0
+#: A state with fewer sure lines in the sample keeps the emissions of its rule: relabelled lines would draw it elsewhere.
+LEAST_SURE = 20
 #: Lexicon entries rest on so many lines at least.
 LEAST_LINES = 4
 _CHUNK = 1_000_000
@@ -437,6 +439,8 @@ def train(lines: Lines, glue: np.ndarray, lexicon: np.ndarray, rounds: int = ROU
     follows = np.flatnonzero(np.diff(lines.page) == 0)
     begins = np.flatnonzero(np.diff(lines.page, prepend=-1))
     labels = sure
+    trusted = np.bincount(sure[sure >= 0], minlength=len(STATES)) >= LEAST_SURE
+    trusted[PROSE] = True
     for _ in range(rounds + 1):
         tables = []
         for f, w, c, rule in zip(seen.T.reshape(len(WIDTHS), -1), WIDTHS, whole, ruled):
@@ -450,6 +454,7 @@ def train(lines: Lines, glue: np.ndarray, lexicon: np.ndarray, rounds: int = ROU
         model = Model(glue, lexicon, [t / t.sum(0) for t in tables], start / start.sum(), move / move.sum(1, keepdims=True))
         # Lines that were beyond doubt keep their label while the others are relabelled.
         labels = np.where(sure >= 0, sure, model.paths(seen, lines.page))
+        labels = np.where((sure >= 0) | trusted[labels], labels, -1)
     return model
 
 
