@@ -483,7 +483,7 @@ def corpus_report(spark, d):
 
 @query
 def land_ledger_antijoin(spark, d):
-    """Batches whose part has not been landed by the time of the first entry of their code version 0.7.0."""
+    """Batches of the ledger that code version 0.6.0 has not landed."""
     log = table(spark, d, "ingest_log")
     old = log.where("code_version = '0.6.0'").select("batch_hash").distinct()
     return log.select("batch_hash", "n_rows").distinct().join(old, "batch_hash", "left_anti")
