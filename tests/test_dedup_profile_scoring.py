@@ -102,3 +102,11 @@ def test_dense_ranks(spark):
     assert [r["rank"] for r in got] == list(range(51)) and got[0].v == "n" and [r.k for r in got[1:]] == list(range(50))
     a, b = df.select("v"), df.where("k < 25").select("v")
     assert ordering.symmetric_difference(a, b).count() == 26
+
+
+def test_both_backends_find_the_same_pairs(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [("1", " ".join(base)), ("2", " ".join([*base[:59], "x"])), ("3", " ".join(f"v{i}" for i in range(40))), ("4", "")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    found = [sorted((r.a, r.b, round(r.similarity, 4)) for r in dedup.near_pairs(df, DedupConfig(backend=b))[1].collect()) for b in ("bands", "mllib")]
+    assert found[0] == found[1] == [("1", "2", round(55 / 57, 4))]
