@@ -22,9 +22,14 @@ similarity s with probability 1 - (1 - s**ROWS)**BANDS: 0.96 at 0.5, 0.997 at
 ``rows`` grows by one and ``bands`` to ln(0.04)/ln(1 - threshold**rows)
 (``banding``), which keeps the tiles small at equal recall.
 
-With ``exact`` a tile holds the records that share one of the least run hashes
-in their prefix of n - ceil(threshold * n) + 1 hashes instead: two similar sets
-always do, so no pair is missed, at about twice the postings.
+With ``exact``, as the registered queries run, no pair is missed.  The run
+hashes of each class are put in one order, rare ones first (``COUNTERS`` hashed
+counters over all classes; the order decides only the cost).  Two similar sets
+share a hash among the first n - ceil(2t/(1+t) n) + 1 of the smaller and the
+first n - ceil(t n) + 1 of the greater.  These prefixes are shuffled in
+``PASSES`` passes, packed in binary rows with 512 parity bits a class; what is
+left of both sets at the common hash, then the parity bits bound the overlap
+from above, and the pairs that remain are verified as above.
 
 Joins on classes read one row per class, which copies are aggregated to before
 any shuffle; joins of records to their class or group deal hot ones over salts.
@@ -37,6 +42,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +70,15 @@ MOST_RUNS = 0xFFFF
 MAPS = ["m1", "m2", "m3", "m4"]
 #: Bits of the finer bitmap that a pair must pass before its arrays are fetched.
 FINE_BITS = 512
+#: The exact way: counters of run hashes, and the parts in which they are added up.
+COUNTERS = 1 << 24
+PARTS = 16
+_COUNTER_SHIFT = np.uint32(32 - 24)
+#: Postings are shuffled in so many passes, each of them in slots of about SLOT_RECORDS records, so that disk and memory stay bounded.
+PASSES = 4
+SLOT_RECORDS = 30_000
+#: Classes that a task remembers at once.
+MOST_SEEN = 500_000
 #: Up to so many record hashes (8 bytes each) are broadcast to fetch texts again; beyond, they are shuffled.
 BROADCAST_RECORDS = 1_000_000
 
@@ -166,19 +181,8 @@ def banding(records: int, threshold: float) -> tuple[int, int]:
     return ROWS + more, math.ceil(math.log(0.04) / math.log(1 - threshold ** (ROWS + more)))
 
 
-def _prefixes(run32: np.ndarray, start: np.ndarray, n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The least hashes of each set, of which two similar sets share one, and the bounds of each set's."""
-    size = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    index = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(start, size)
-    return run32[index], offsets
-
-
-def _sketches(rows: int, bands: int, run_words: int, min_words: int, prefix: float | None = None):
-    """(id, text, content) -> (id, cls, content, runs, mins, m1 to m4, fine) of texts with enough words.
-
-    ``mins`` holds MinHash values of 16 bits, or the hashes (32 bits) of the prefix for this threshold.
-    """
+def _sketches(rows: int, bands: int, run_words: int, min_words: int):
+    """(id, text, content) -> (id, cls, content, runs, mins, m1 to m4, fine) of texts with enough words; ``mins`` holds MinHash values of 16 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = _Shingler(run_words, min_words)
@@ -192,15 +196,11 @@ def _sketches(rows: int, bands: int, run_words: int, min_words: int, prefix: flo
                 if not len(picked):
                     continue
                 n = np.diff(start, append=len(run32))
-                if prefix is None:
-                    mins = np.empty((len(picked), functions), np.uint16)
-                    for k in range(functions):
-                        least = np.minimum.reduceat(run32 * factors[k] + terms[k], start)
-                        mins[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
-                    ends = np.arange(len(picked) + 1) * functions * 2
-                else:
-                    mins, ends = _prefixes(run32, start, n, prefix)
-                    ends = ends * 4
+                mins = np.empty((len(picked), functions), np.uint16)
+                for k in range(functions):
+                    least = np.minimum.reduceat(run32 * factors[k] + terms[k], start)
+                    mins[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(16)
+                ends = np.arange(len(picked) + 1) * functions * 2
                 maps = _bitmaps(run32, start, n).view(np.int64)
                 fine = _bitmaps(run32, start, n, FINE_BITS).view(np.uint8).ravel()
                 yield pa.RecordBatch.from_arrays(
@@ -234,6 +234,178 @@ def _arrays(run_words: int, min_words: int):
     return run
 
 
+def _sets(run_words: int, min_words: int):
+    """(id, text, content) -> (id, cls, content, runs, arr, fine) of texts with enough words; the arrays stand in a class's first row of a task, elsewhere they are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = _Shingler(run_words, min_words)
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                picked, sequence, start, run32 = shingle(batch.column(1))
+                if not len(picked):
+                    continue
+                n = np.diff(start, append=len(run32))
+                cls = _class_ids(batch.column(2), picked, sequence)
+                if len(seen) > MOST_SEEN:
+                    seen.clear()
+                first = np.fromiter((not (c in seen or seen.add(c)) for c in cls.tolist()), bool, len(cls))
+                ends = np.concatenate([[0], np.cumsum(n * first)]) * 4
+                fine = _parities(run32, start, n)[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(picked)),
+                        pa.array(cls),
+                        batch.column(2).take(pa.array(picked)),
+                        pa.array(n.astype(np.int32)),
+                        _binary(run32[np.repeat(first, n)], ends),
+                        _binary(fine, np.concatenate([[0], np.cumsum(first)]) * (FINE_BITS // 8)),
+                    ],
+                    names=["id", "cls", "content", "runs", "arr", "fine"],
+                )
+
+    return run
+
+
+def _parities(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """FINE_BITS bits of each array: whether an odd number of its hashes falls to the bit. Two arrays differ in at least as many hashes as bits."""
+    row = np.repeat(np.arange(len(at)), n)
+    index = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
+    bit = (data[index] * np.uint32(0x85EBCA6B)) >> np.uint32(33 - FINE_BITS.bit_length())
+    odd = np.bincount(row * FINE_BITS + bit, minlength=len(at) * FINE_BITS).astype(np.uint8) & np.uint8(1)
+    return np.packbits(odd).view(np.uint64).reshape(len(at), FINE_BITS // 64)
+
+
+def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(arr) -> (part, k, n): the task's counters that are not 0, in PARTS parts."""
+    table = np.zeros(COUNTERS, np.uint32)
+    for batch in batches:
+        if len(batch):
+            k, n = np.unique(_held(batch.column(0))[0] >> _COUNTER_SHIFT, return_counts=True)
+            table[k] += n.astype(np.uint32)
+    size = COUNTERS // PARTS
+    for part in range(PARTS):
+        some = table[part * size : (part + 1) * size]
+        k = np.flatnonzero(some)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k.astype(np.uint32).tobytes()], pa.binary()), pa.array([some[k].tobytes()], pa.binary())], names=["part", "k", "n"])
+
+
+def _weights(key: tuple, table: pa.Table) -> pa.Table:
+    """The counts of a part on a scale of logarithms, a byte each."""
+    total = np.zeros(COUNTERS // PARTS, np.int64)
+    for k, n in zip(table.column("k").to_pylist(), table.column("n").to_pylist()):
+        total[np.frombuffer(k, np.uint32)] += np.frombuffer(n, np.uint32)
+    scale = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([scale.tobytes()], pa.binary())})
+
+
+def _postings(weights, threshold: float, this: int, passes: int, slots: int):
+    """(cls, arr, fine) -> (slot, tile, who, pos, cls, n, fine): this pass's postings of the prefixes, packed by slot.
+
+    A posting is a run hash, the place of its record in the row and its position in
+    the record's order; records are held once a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.frombuffer(weights.value, np.uint8)
+        for whole in batches:
+            for begin in range(0, len(whole), 0xFFFF):
+                batch = whole.slice(begin, 0xFFFF)
+                data, at, n = _held(batch.column(1))
+                key = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(40), n) | (weight[data >> _COUNTER_SHIFT].astype(np.uint64) << np.uint64(32)) | data
+                key.sort()
+                pos = np.arange(len(key)) - np.repeat(at, n)
+                kept = pos < np.repeat(n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1, n)
+                key, pos = key[kept], pos[kept]
+                tile = key.astype(np.uint32)
+                slot = ((tile * np.uint32(0xC2B2AE35)) >> np.uint32(8)) % np.uint32(passes * slots)
+                mine = np.flatnonzero(slot // np.uint32(slots) == this)
+                if not len(mine):
+                    continue
+                mine = mine[np.argsort(slot[mine].astype(np.uint16) if passes * slots <= 0xFFFF else slot[mine], kind="stable")]
+                tile, slot, rec, pos = tile[mine], slot[mine], (key[mine] >> np.uint64(40)).astype(np.int64), pos[mine]
+                head = np.flatnonzero(np.diff(slot.astype(np.int64), prepend=-1))
+                new = np.ones(len(rec), bool)
+                new[1:] = (rec[1:] != rec[:-1]) | (slot[1:] != slot[:-1])
+                number = np.cumsum(new) - 1
+                who = number - np.repeat(number[head], np.diff(head, append=len(rec)))
+                held, ends, places = rec[new], np.append(head, len(rec)), np.append(number[head], number[-1] + 1)
+                cls = batch.column(0).to_numpy(zero_copy_only=False)
+                fine = _held(batch.column(2))[0].reshape(len(n), -1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(slot[head].astype(np.int32)),
+                        _binary(tile, ends * 4),
+                        _binary(who.astype(np.uint16), ends * 2),
+                        _binary(np.minimum(pos, 0xFFFF).astype(np.uint16), ends * 2),
+                        _binary(cls[held], places * 8),
+                        _binary(n[held].astype(np.uint32), places * 4),
+                        _binary(fine[held], places * (FINE_BITS // 8)),
+                    ],
+                    names=["slot", "tile", "who", "pos", "cls", "n", "fine"],
+                )
+
+    return run
+
+
+def _slot_pairs(threshold: float):
+    """The postings of one slot -> its pairs of classes that can be similar."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        cls, n, fine = column("cls", np.int64), column("n", np.uint32).astype(np.int64), column("fine", np.uint64).reshape(-1, FINE_BITS // 64)
+        tile, pos = column("tile", np.uint32), column("pos", np.uint16).astype(np.int64)
+        records = np.array([len(x) // 8 for x in table.column("cls").to_pylist()])
+        postings = np.array([len(x) // 4 for x in table.column("tile").to_pylist()])
+        who = column("who", np.uint16) + np.repeat(np.cumsum(records) - records, postings)
+        # Classes in order of size, each once though several tasks hold it.
+        order = np.lexsort((cls, n))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = cls[order[1:]] != cls[order[:-1]]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(fresh) - 1
+        order = order[fresh]
+        cls, n, fine = cls[order], n[order], fine[order]
+        packed = (tile.astype(np.uint64) << np.uint64(32)) | rank[who].astype(np.uint64)
+        sort = np.argsort(packed)
+        packed, pos = packed[sort], pos[sort]
+        once = np.ones(len(packed), bool)
+        once[1:] = packed[1:] != packed[:-1]
+        packed, pos = packed[once], pos[once]
+        tile, who = (packed >> np.uint64(32)).astype(np.int64), (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        size = n[who]
+        rest = size - pos
+        # The smaller record of a pair shares a hash of its first n - ceil(2t/(1+t) n) + 1, the greater one of its whole prefix.
+        alive = np.flatnonzero(pos <= size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9).astype(np.int64))
+        found, held, d = [], 0, 0
+        while len(alive):
+            d += 1
+            alive = alive[alive + d < len(tile)]
+            other = alive + d
+            near = (tile[alive] == tile[other]) & (size[alive] >= threshold * size[other])
+            alive, other = alive[near], other[near]
+            total, most = size[alive] + size[other], np.minimum(rest[alive], rest[other])
+            maybe = np.flatnonzero(most >= threshold * (total - most))
+            a, b, total = who[alive[maybe]], who[other[maybe]], total[maybe]
+            apart = np.zeros(len(a), np.int64)
+            for half in (slice(0, FINE_BITS // 128), slice(FINE_BITS // 128, None)):
+                apart += np.bitwise_count(fine[a, half] ^ fine[b, half]).sum(1, dtype=np.int64)
+                maybe = np.flatnonzero(_possible(total, apart, threshold))
+                a, b, total, apart = a[maybe], b[maybe], total[maybe], apart[maybe]
+            if len(a):
+                found.append((a << 32) | b)
+                held += len(a)
+                if held > 4_000_000:  # the same pair comes once for each hash that it shares
+                    found = [np.unique(np.concatenate(found))]
+                    held = 0
+        pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+        x, y = cls[pairs >> 32], cls[pairs & 0xFFFFFFFF]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return run
+
+
 def _possible(total: np.ndarray, apart: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs can reach the threshold, by the sum of their sizes and the bits in which their bitmaps differ."""
     most = (total - apart) // 2
@@ -384,8 +556,8 @@ def _verify(threshold: float):
     return run
 
 
-def _large_tiles(threshold: float, rows: int | None):
-    """One block pair of a large tile -> its similar pairs, with ``rows`` only those whose first common band is this one."""
+def _large_tiles(threshold: float, rows: int):
+    """One block pair of a large tile -> its similar pairs whose first common band is this one."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         band, p, q = (k.as_py() for k in key[1:])
@@ -393,7 +565,7 @@ def _large_tiles(threshold: float, rows: int | None):
         held = _held(table.column("arr"))
         maps = _bitmaps(*held)
         cls, contents = table.column("cls").to_numpy(), table.column("content").to_numpy()
-        mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), np.uint16).reshape(len(cls), -1, rows) if rows else None
+        mins = np.frombuffer(b"".join(table.column("mins").to_pylist()), np.uint16).reshape(len(cls), -1, rows)
         left, right = np.flatnonzero(blk == p), np.flatnonzero(blk == q)
         found_a, found_b = [], []
         for i in left:
@@ -402,7 +574,7 @@ def _large_tiles(threshold: float, rows: int | None):
             near = np.minimum(n[i], n[other]) >= threshold * np.maximum(n[i], n[other])
             near &= (cls[other] != cls[i]) & (contents[other] != contents[i])
             other = other[near]
-            if len(other) and band and rows:
+            if len(other) and band:
                 other = other[~(mins[other, :band] == mins[i, :band]).all(2).any(1)]
             if len(other):
                 other = other[_similar(held, held, np.full(len(other), i), other, threshold, (maps, maps))]
@@ -429,22 +601,21 @@ class NearDuplicates:
     ) -> None:
         texts = records.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         texts = texts.where(F.length("text") >= 2 * min_words - 1)
+        if exact:
+            self._compare(texts, threshold, run_words, min_words)
+            return
         if rows is None or bands is None:
             derived = banding(records.count(), threshold)
             rows, bands = rows or derived[0], bands or derived[1]
         held = F.xxhash64(content(F.col("text"))).alias("content")
         self.sketches = stage(
             texts.select("id", F.lower("text").alias("text"), held).mapInArrow(
-                _sketches(rows, bands, run_words, min_words, threshold if exact else None), "id string, cls long, content long, runs int, mins binary, m1 long, m2 long, m3 long, m4 long, fine binary"
+                _sketches(rows, bands, run_words, min_words), "id string, cls long, content long, runs int, mins binary, m1 long, m2 long, m3 long, m4 long, fine binary"
             ),
             "p2-sketches",
         )
         one_each = self.sketches.select("cls", "runs", "mins", *MAPS).dropDuplicates(["cls"])
-        if exact:
-            places = F.sequence(F.lit(0), (F.octet_length("mins") / 4 - 1).cast("int"))
-            tiles = F.transform(places, lambda i: F.shiftrightunsigned(F.xxhash64(F.col("mins").substr(i * 4 + 1, F.lit(4))), 17))
-        else:
-            tiles = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(i), F.expr(f"substring(mins, {2 * i * rows + 1}, {2 * rows})")), 17) for i in range(bands)])
+        tiles = F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(i), F.expr(f"substring(mins, {2 * i * rows + 1}, {2 * rows})")), 17) for i in range(bands)])
         size = F.least(F.col("runs"), F.lit(MOST_RUNS)).cast("long")
         postings = one_each.select("cls", *MAPS, size.alias("size"), F.explode(tiles).alias("tile"))
         postings = postings.select(F.shiftleft("tile", 16).bitwiseOR(F.col("size")).alias("packed"), "cls", *MAPS)
@@ -474,17 +645,42 @@ class NearDuplicates:
         tiled = stage(large.select("cls").distinct(), "p2-tiled")
         count = tiled.count()
         if count:
-            verified = verified.union(self._in_place(large, F.broadcast(tiled) if count <= BROADCAST_RECORDS else tiled, arrays, tiles, threshold, None if exact else rows))
+            verified = verified.union(self._in_place(large, F.broadcast(tiled) if count <= BROADCAST_RECORDS else tiled, arrays, tiles, threshold, rows))
         self.pairs = stage(verified.distinct(), "p2-similar")
 
-    def _in_place(self, large: DataFrame, tiled: DataFrame, arrays: DataFrame, tiles: Column, threshold: float, rows: int | None) -> DataFrame:
+    def _compare(self, texts: DataFrame, threshold: float, run_words: int, min_words: int) -> None:
+        """The exact way: classes that share a hash of their prefixes, bounded by positions and parity bits, then verified."""
+        spark = texts.sparkSession
+        held = F.xxhash64(content(F.col("text"))).alias("content")
+        self.sketches = stage(
+            texts.select("id", F.lower("text").alias("text"), held).mapInArrow(_sets(run_words, min_words), "id string, cls long, content long, runs int, arr binary, fine binary"),
+            "p2-sketches",
+        )
+        sets = self.sketches.where(F.octet_length("arr") > 0)
+        counted = sets.select("arr").mapInArrow(_count_runs, "part int, k binary, n binary").groupBy("part").applyInArrow(_weights, "part int, w binary")
+        table = np.zeros((PARTS, COUNTERS // PARTS), np.uint8)
+        for row in stage(counted, "p2-weights").toLocalIterator():
+            table[row.part] = np.frombuffer(row.w, np.uint8)
+        weights = spark.sparkContext.broadcast(table.tobytes())
+        slots = max(12, -(-self.sketches.count() // SLOT_RECORDS))
+        found = []
+        for this in range(PASSES):
+            posted = sets.select("cls", "arr", "fine").mapInArrow(_postings(weights, threshold, this, PASSES, slots), "slot int, tile binary, who binary, pos binary, cls binary, n binary, fine binary")
+            found.append(stage(posted.groupBy("slot").applyInArrow(_slot_pairs(threshold), "a long, b long").distinct(), "p2-candidates"))
+        small = stage(reduce(DataFrame.union, found).distinct(), "p2-pairs")
+        wanted = stage(small.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "p2-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_RECORDS else wanted
+        arrays = stage(sets.select("cls", "content", "arr").join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "p2-arrays")
+        side = lambda c: arrays.select(F.col("cls").alias(c), F.col("content").alias(f"content_{c}"), F.col("arr").alias(f"arr_{c}"))
+        both = small.join(side("a"), "a").join(side("b"), "b").where("content_a <> content_b")
+        self.pairs = stage(both.select("a", "b", "arr_a", "arr_b").mapInArrow(_verify(threshold), "a long, b long"), "p2-similar")
+
+    def _in_place(self, large: DataFrame, tiled: DataFrame, arrays: DataFrame, tiles: Column, threshold: float, rows: int) -> DataFrame:
         """Similar pairs of the large tiles, block by block."""
         sketched = self.sketches.select("cls", "mins").dropDuplicates(["cls"]).join(tiled, "cls", "left_semi")
         payload = sketched.join(arrays.join(tiled, "cls", "left_semi").dropDuplicates(["cls"]), "cls")
         blocks = large.groupBy("tile").agg(F.max("blk").alias("last"))
-        # Prefix tiles have no bands: the place of a hash differs from record to record.
-        band_of = F.array_position(tiles, F.col("tile")).cast("int") - 1 if rows else F.lit(0)
-        carried = large.join(blocks, "tile").join(payload, "cls").withColumn("band", band_of)
+        carried = large.join(blocks, "tile").join(payload, "cls").withColumn("band", F.array_position(tiles, F.col("tile")).cast("int") - 1)
         carried = carried.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("last"))))
         carried = carried.withColumn("p", F.least("blk", "o")).withColumn("q", F.greatest("blk", "o"))
         return (

@@ -25,11 +25,11 @@ def p1_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text")).record_pairs()
+    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text"), exact=True).record_pairs()
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text")).groups()
+    return near_dups.NearDuplicates(_table(spark, sf_dir, "synth_records").select("id", "text"), exact=True).groups()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

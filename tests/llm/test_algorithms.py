@@ -300,3 +300,23 @@ def test_flight_keeps_both_totals():
     open_ = [v for v in p if 0 < v < 1]
     assert len(open_) <= 2
     assert abs(sum(p) - 148) < 1e-6 and abs(sum(t * v for t, v in zip(tokens, p)) - 0.37 * sum(tokens)) < 1e-4
+
+
+def test_registered_near_duplicates_miss_no_pair_at_the_threshold(spark, tmp_path):
+    from millrace.llm import queries
+
+    rng = random.Random(11)
+    rows, true = [], set()
+    for f in range(400):
+        base = [f"x{f}y{i}" for i in range(rng.randrange(30, 120))]
+        other, held = list(base), base
+        grams = lambda t: {tuple(t[k : k + 3]) for k in range(len(t) - 2)}
+        while len(grams(base) & grams(other)) >= 0.5 * len(grams(base) | grams(other)):
+            held = list(other)
+            other[rng.randrange(len(other))] = f"z{f}y{rng.randrange(10**9)}"
+        for k in range(1 + f % 3):  # copies of both sides too
+            rows += [(f"{f:04d}a{k}", " ".join(base)), (f"{f:04d}b{k}", " ".join(held))]
+        true |= {(f"{f:04d}a{k}", f"{f:04d}b{j}") for k in range(1 + f % 3) for j in range(1 + f % 3)}
+    spark.createDataFrame(rows, "id string, text string").repartition(3).write.parquet(f"{tmp_path}/synth_records.parquet")
+    assert {(r.id_a, r.id_b) for r in queries.p2_found(spark, str(tmp_path)).collect()} == true
+    assert {r.id for r in queries.p2_groups(spark, str(tmp_path)).collect()} == {x for p in true for x in p}
