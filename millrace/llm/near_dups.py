@@ -75,7 +75,7 @@ COUNTERS = 1 << 24
 PARTS = 16
 _COUNTER_SHIFT = np.uint32(32 - 24)
 #: Postings are shuffled in so many passes, each of them in slots of about SLOT_RECORDS records, so that disk and memory stay bounded.
-PASSES = 4
+PASSES = 8
 SLOT_RECORDS = 30_000
 #: Classes that a task remembers at once.
 MOST_SEEN = 500_000

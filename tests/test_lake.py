@@ -197,3 +197,22 @@ def test_contract_raises_and_staged_tables_are_deleted(spark):
         gate.assert_contract(spark.createDataFrame([("1", "short")], "id string, text string"))
     kept = staging.stage(good, "unstaged")
     assert kept.count() == 1 and staging.unstage(spark) >= 1
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    import time
+
+    from millrace.plans.staging import stage
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    before = shuffled()
+    df = spark.range(1000).repartition(3, "id").groupBy("id").count()
+    held = stage(df, "test")
+    for _ in range(50):  # files are removed in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and held.count() == 1000
