@@ -14,8 +14,8 @@ Chains that end in UTF-8 are nearly proven by decoding at all, so their margin
 is low; chains between single-byte code pages always decode, so they are tried
 only on passages that the model finds unlikely and need a high margin, the
 higher the fewer letters speak for it.  Both margins are validated on every run:
-``validate`` scores a bounded sample of clean passages (``HELD_OUT``), as they
-are and deliberately garbled, and raises a margin that clean passages exceed.
+all clean passages are scored as they are, and a margin that any of them exceeds
+is raised.  ``margins`` also garbles all of them deliberately.
 
 Defined results: a null id is ignored; a null, empty or pure ASCII text is
 never a case; repeated rows of an id count once; U+FFFD marks a case that
@@ -27,6 +27,7 @@ from __future__ import annotations
 import codecs
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,8 +45,8 @@ SINGLE_RIGHT = ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic", "cp125
 
 #: Hashed counters of trigrams: 8 MB on the driver, 4 MB for each task. Counters of single characters follow them.
 BUCKETS = 1 << 20
-#: Clean passages on which the margins are validated, at most.
-HELD_OUT = 400
+#: Clean passages that a task remembers, so that repeated ones are scored once.
+MOST_SEEN = 200_000
 #: Least gain in mean log probability per trigram.
 MARGIN_UTF8 = 0.2
 MARGIN_SINGLE = 2.0
@@ -71,6 +72,7 @@ class Chains:
         pages = {name: _code_page(name) for name in {*WRONG, *SINGLE_WRONG, *SINGLE_RIGHT}}
         self.utf8 = [(name, pages[name][1]) for name in WRONG]
         self.single = [(w, r, pages[w][1], pages[r][0]) for w in SINGLE_WRONG for r in SINGLE_RIGHT if w != r]
+        self.swapped: dict[str, np.ndarray] = {}
 
     def to_utf8(self, text: str) -> list[str]:
         """All readings of the text as UTF-8 bytes decoded by a wrong code page."""
@@ -103,6 +105,15 @@ class Chains:
         found.discard(text)
         return list(found)
 
+    def swaps(self, signs: str) -> np.ndarray:
+        """What the non-ASCII signs turn into by each single-byte chain, a row for each reading; ASCII stays as it is."""
+        if signs not in self.swapped:
+            if len(self.swapped) > 20_000:
+                self.swapped.clear()
+            read = sorted(self.to_single(signs))
+            self.swapped[signs] = np.array([[ord(c) for c in r] for r in read], np.uint64).reshape(len(read), len(signs))
+        return self.swapped[signs]
+
 
 def _trigrams(text: str) -> Iterator[str]:
     padded = f" {text} "
@@ -124,6 +135,17 @@ def _bucket(t: str) -> int:
     return (x >> 32) & (BUCKETS - 1)
 
 
+def _buckets(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``_bucket`` of arrays of signs; the product has up to 85 bits."""
+    low, k = np.uint64(0xFFFFFFFF), np.uint64(0x85EBCA6B)
+    y = a * np.uint64(0x9E3779B1) + b
+    least = (y & low) * k + c
+    mid = (least >> np.uint64(32)) + (y >> np.uint64(32)) * k
+    x = (mid << np.uint64(32)) | (least & low)
+    x ^= (x >> np.uint64(29)) | ((mid >> np.uint64(32)) << np.uint64(35))
+    return ((x * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) & np.uint64(BUCKETS - 1)
+
+
 class Model:
     """Add-alpha smoothed trigram probabilities, backed by the share of the characters.
 
@@ -166,6 +188,25 @@ class Model:
         return sum(values) / len(values) if values else 0.0
 
 
+def _single_gain(model: Model, chains: Chains, text: str, base: float) -> float:
+    """What the best reading between single-byte code pages gains over ``base``; 0 at least."""
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    foreign = codes > 127
+    signs, which = np.unique(codes[foreign], return_inverse=True)
+    maps = chains.swaps("".join(map(chr, signs.tolist())))
+    if not len(maps):
+        return 0.0
+    rows = np.repeat(codes[None], len(maps), 0)
+    rows[:, foreign] = maps[:, which]
+    start = np.flatnonzero(foreign[:-2] | foreign[1:-1] | foreign[2:])
+    a, b, c = rows[:, start], rows[:, start + 1], rows[:, start + 2]
+    value = model.logs[_buckets(a, b, c)]
+    missing = value > 0
+    if missing.any():
+        value[missing] = np.maximum(model.unseen - 1.0, model.chars[a[missing]] + model.chars[b[missing]] + model.chars[c[missing]] - 2.0)
+    return max(0.0, float(value.mean(1, dtype=np.float64).max()) - base)
+
+
 def passages(text: str) -> list[tuple[int, int]]:
     """Spans of the text's lines and sentences that hold a non-ASCII character."""
     return [m.span() for m in _PASSAGE.finditer(text) if not m.group().isascii()]
@@ -182,6 +223,10 @@ class Repairer:
     def __init__(self, model: Model, margin_utf8: float = MARGIN_UTF8, margin_single: float = MARGIN_SINGLE) -> None:
         self.model, self.chains = model, Chains()
         self.margin_utf8, self.margin_single = margin_utf8, margin_single
+        #: The most that a clean passage gained by a single-byte chain so far.
+        self.clean_gain = 0.0
+        self.decodes = False
+        self.seen: set[str] = set()
 
     def _best(self, text: str, readings: list[str], margin: float) -> str | None:
         if not readings:
@@ -192,6 +237,7 @@ class Repairer:
 
     def _utf8(self, text: str) -> str | None:
         readings = self.chains.deep(text)
+        self.decodes |= bool(readings)
         if not readings and "Ã " in text + " ":
             readings = self.chains.deep((text + " ").replace("Ã ", "Ã ").rstrip(" "))
         return self._best(text, readings, self.margin_utf8)
@@ -200,6 +246,7 @@ class Repairer:
         """Is the passage garbled, its best reading, and is anything lost."""
         if "�" in text:
             return True, text, True
+        self.decodes = False
         read = self._utf8(text)
         if read is not None:
             return True, read, False
@@ -213,7 +260,8 @@ class Repairer:
         if hit:
             return True, "".join(words), False
         letters = _foreign_signs(text)
-        if letters and self.model.score(text) < UNLIKELY:
+        score = self.model.score(text)
+        if letters and score < UNLIKELY:
             read = self._best(text, self.chains.to_single(text), self.margin_single * max(1.0, MIN_LETTERS / letters))
             if read is not None:
                 return True, read, False
@@ -222,6 +270,11 @@ class Repairer:
                 return True, text, True
         if _ODD.search(text):
             return True, text, True
+        if not self.decodes and letters >= MIN_LETTERS and score >= UNLIKELY and text not in self.seen:
+            if len(self.seen) > MOST_SEEN:
+                self.seen.clear()
+            self.seen.add(text)
+            self.clean_gain = max(self.clean_gain, _single_gain(self.model, self.chains, text, score))
         return False, text, False
 
     def text(self, text: str) -> tuple[bool, str, bool]:
@@ -258,48 +311,74 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([table[k] for k in some], pa.int64())], names=["k", "n"])
 
 
+def _undamaged(text: str, chains: Chains) -> Iterator[str]:
+    """The passages without visible damage."""
+    for s, e in passages(text):
+        part = text[s:e]
+        if not _ODD.search(part) and not any(chains.to_utf8(w) for w in {part, *part.split(" ")} if not w.isascii()):
+            yield part
+
+
+def _gain(model: Model, text: str, readings: list[str]) -> tuple[float, str]:
+    """What the best reading gains, and the reading."""
+    value, best = max((model.score(r) if not r.isascii() else -4.0, r) for r in readings)
+    return value - model.score(text), best
+
+
+def _gains(model: Model, chains: Chains, text: str) -> tuple[float, float]:
+    """What a clean passage gains by its best chain to UTF-8 and between single-byte code pages; 0 at least."""
+    held = chains.deep(text)
+    utf8 = max(0.0, _gain(model, text, held)[0]) if held else 0.0
+    return utf8, _single_gain(model, chains, text, model.score(text)) if _foreign_signs(text) >= MIN_LETTERS else 0.0
+
+
+def _raised(utf8: float, single: float) -> tuple[float, float]:
+    """The margins that no such gain exceeds."""
+    return max(MARGIN_UTF8, utf8 + 0.05), max(MARGIN_SINGLE, single + 0.05)
+
+
+def _restored(model: Model, chains: Chains, pages: dict, text: str, i: int, margins: tuple[float, float]) -> tuple[bool | None, bool | None]:
+    """Is the passage restored after it was garbled by the i-th chain of each sort; None where that chain doesn't apply."""
+    damaged: list[str | None] = ["".join(pages[WRONG[i % len(WRONG)]][0][b] for b in text.encode()), None]
+    right, wrong = pages[SINGLE_RIGHT[i % len(SINGLE_RIGHT)]][1], pages[SINGLE_WRONG[i % len(SINGLE_WRONG)]][0]
+    try:
+        garbled = codecs.charmap_decode(codecs.charmap_encode(text, "strict", right)[0], "strict", wrong)[0]
+        if garbled != text and _foreign_signs(garbled) >= MIN_LETTERS:
+            damaged[1] = garbled
+    except UnicodeError:
+        pass
+    found: list[bool | None] = [None, None]
+    for k, readings in enumerate((chains.deep, chains.to_single)):
+        if (garbled := damaged[k]) is not None:
+            held = readings(garbled)
+            best = _gain(model, garbled, held) if held else (0.0, "")
+            found[k] = best[0] > margins[k] and best[1] == text
+    return found[0], found[1]
+
+
+def _pages() -> dict:
+    return {name: _code_page(name) for name in {*WRONG, *SINGLE_WRONG, *SINGLE_RIGHT}}
+
+
 def validate(model: Model, clean: list[str]) -> dict[str, float]:
     """Margins that no clean passage exceeds, and how many garbled ones they still find, on undamaged passages.
 
     Each passage is garbled by one chain of each sort, in turn.  Without passages the margins are those set above.
     Passages below ``UNLIKELY`` are left out: single-byte damage among them shows in nothing but the score.
     """
-    chains = Chains()
-    gains: dict[str, list[float]] = {"utf8": [0.0], "single": [0.0]}
-    found: dict[str, list[bool]] = {"utf8": [], "single": []}
-    pages = {name: _code_page(name) for name in {*WRONG, *SINGLE_WRONG, *SINGLE_RIGHT}}
+    chains, pages = Chains(), _pages()
+    clean = [text for text in clean if model.score(text) >= UNLIKELY]
+    gains = [_gains(model, chains, text) for text in clean]
+    margins = _raised(*(max([0.0, *(g[k] for g in gains)]) for k in range(2)))
+    found = [_restored(model, chains, pages, text, i, margins) for i, text in enumerate(clean)]
+    return _report(len(clean), margins, *((sum(f[k] is not None for f in found), sum(f[k] is True for f in found)) for k in range(2)))
 
-    def gain(text: str, readings: list[str]) -> tuple[float, str]:
-        value, best = max((model.score(r) if not r.isascii() else -4.0, r) for r in readings)
-        return value - model.score(text), best
 
-    damaged: dict[str, list[tuple[str, str]]] = {"utf8": [], "single": []}
-    clean = [text for text in clean if model.score(text) >= UNLIKELY]
-    for i, text in enumerate(clean):
-        for sort, readings in (("utf8", chains.deep), ("single", chains.to_single)):
-            if sort == "single" and _foreign_signs(text) < MIN_LETTERS:
-                continue
-            if held := readings(text):
-                gains[sort].append(gain(text, held)[0])
-        garbled = "".join(pages[WRONG[i % len(WRONG)]][0][b] for b in text.encode())
-        damaged["utf8"].append((text, garbled))
-        right, wrong = pages[SINGLE_RIGHT[i % len(SINGLE_RIGHT)]][1], pages[SINGLE_WRONG[i % len(SINGLE_WRONG)]][0]
-        try:
-            garbled = codecs.charmap_decode(codecs.charmap_encode(text, "strict", right)[0], "strict", wrong)[0]
-        except UnicodeError:
-            continue
-        if garbled != text and _foreign_signs(garbled) >= MIN_LETTERS:
-            damaged["single"].append((text, garbled))
-    margins = {sort: max(least, max(gains[sort]) + 0.05) for sort, least in (("utf8", MARGIN_UTF8), ("single", MARGIN_SINGLE))}
-    for sort, readings in (("utf8", chains.deep), ("single", chains.to_single)):
-        for text, garbled in damaged[sort]:
-            held = readings(garbled)
-            best = gain(garbled, held) if held else (0.0, "")
-            found[sort].append(best[0] > margins[sort] and best[1] == text)
-    share = lambda xs: sum(xs) / len(xs) if xs else 1.0
+def _report(n: int, margins: tuple[float, float], utf8: tuple[int, int], single: tuple[int, int]) -> dict[str, float]:
+    share = lambda of, found: found / of if of else 1.0
     return {
-        "passages": float(len(clean)), "margin_utf8": margins["utf8"], "margin_single": margins["single"],
-        "restored_utf8": share(found["utf8"]), "restored_single": share(found["single"]),
+        "passages": float(n), "margin_utf8": margins[0], "margin_single": margins[1],
+        "restored_utf8": share(*utf8), "restored_single": share(*single),
     }
 
 
@@ -317,38 +396,80 @@ def train(records: DataFrame, id_col: str = "id", text_col: str = "text") -> np.
     return table
 
 
-def held_out(records: DataFrame, id_col: str = "id", text_col: str = "text", most: int = HELD_OUT) -> list[str]:
-    """Undamaged passages of texts drawn by a hash of the id, at most ``most`` texts and passages."""
-    foreign = _foreign(records, id_col, text_col)
-    n = foreign.count()
-    part = foreign.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * most / max(1, n))))
-    chains, found = Chains(), set()
-    for row in part.select("text").limit(most).toLocalIterator():
-        for s, e in passages(row.text):
-            text = row.text[s:e]
-            if not _ODD.search(text) and not any(chains.to_utf8(w) for w in {text, *text.split(" ")} if not w.isascii()):
-                found.add(text)
-    return sorted(found)[:: max(1, -(-len(found) // most))]
+def _hold(records: DataFrame, counts: np.ndarray):
+    some = np.flatnonzero(counts)
+    return records.sparkSession.sparkContext.broadcast((some, counts[some]))
+
+
+def _held_model(held) -> Model:
+    table = np.zeros(BUCKETS + 0x110000, np.int64)
+    table[held.value[0]] = held.value[1]
+    return Model(table)
+
+
+def _validated(held, margins: tuple[float, float] | None):
+    """(text) -> (n, utf8, single, of_utf8, of_single): clean passages and their greatest gains; with margins how many of those garbled are restored, and of how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, chains, pages = _held_model(held), Chains(), _pages()
+        n, sums, seen = 0, [0.0, 0.0, 0, 0], {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for part in _undamaged(text, chains):
+                    got = seen.get(part)
+                    if got is None:
+                        if len(seen) > MOST_SEEN:
+                            seen.clear()
+                        got = ()
+                        if model.score(part) >= UNLIKELY:
+                            got = _restored(model, chains, pages, part, zlib.crc32(part.encode()), margins) if margins else _gains(model, chains, part)
+                        seen[part] = got
+                    if not got:
+                        continue
+                    n += 1
+                    for k in range(2):
+                        if not margins:
+                            sums[k] = max(sums[k], got[k])
+                        elif got[k] is not None:
+                            sums[k] += got[k]
+                            sums[2 + k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((n, *sums), (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=["n", "utf8", "single", "of_utf8", "of_single"])
+
+    return run
 
 
 def margins(records: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(measure, value): the margins of this run and the shares of garbled passages that they restore."""
-    report = validate(Model(train(records, id_col, text_col)), held_out(records, id_col, text_col))
+    held = _hold(records, train(records, id_col, text_col))
+    texts, columns = _foreign(records, id_col, text_col).select("text"), "n long, utf8 double, single double, of_utf8 long, of_single long"
+    most = texts.mapInArrow(_validated(held, None), columns).agg(F.max("utf8"), F.max("single")).first()
+    limit = _raised(most[0] or 0.0, most[1] or 0.0)
+    scored = texts.mapInArrow(_validated(held, limit), columns)
+    n, utf8, single, of_utf8, of_single = (x or 0 for x in scored.agg(*(F.sum(c) for c in scored.columns)).first())
+    report = _report(n, limit, (of_utf8, utf8), (of_single, single))
     return records.sparkSession.createDataFrame([(k, float(v)) for k, v in report.items()], "measure string, value double")
 
 
 def find_garbled(records: DataFrame, id_col: str = "id", text_col: str = "text", counts: np.ndarray | None = None) -> DataFrame:
     """(id, restored, lost): garbled records; ``restored`` is null where characters were lost."""
     counts = train(records, id_col, text_col) if counts is None else counts
-    report = validate(Model(counts), held_out(records, id_col, text_col))
-    limits = report["margin_utf8"], report["margin_single"]
-    some = np.flatnonzero(counts)
-    held = records.sparkSession.sparkContext.broadcast((some, counts[some]))
+    held = _hold(records, counts)
+    rows = _foreign(records, id_col, text_col)
+    found = _scored(rows, held, MARGIN_UTF8, MARGIN_SINGLE)
+    # A passage that decodes as UTF-8 isn't clean, so that margin is never exceeded; where the other one is, all texts are scored again.
+    most = found.where("id is null").agg(F.max("gain")).first()[0] or 0.0
+    limit = _raised(0.0, most)
+    if limit != (MARGIN_UTF8, MARGIN_SINGLE):
+        found = _scored(rows, held, *limit)
+    return found.where("id is not null").groupBy("id").agg(F.min("restored").alias("restored"), F.max("lost").alias("lost"))
+
+
+def _scored(rows: DataFrame, held, margin_utf8: float, margin_single: float) -> DataFrame:
+    """(id, restored, lost, gain): garbled texts, and a row without id for each task with the most that a clean passage gained."""
+    names = ["id", "restored", "lost", "gain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS + 0x110000, np.int64)
-        table[held.value[0]] = held.value[1]
-        repairer = Repairer(Model(table), *limits)
+        repairer = Repairer(_held_model(held), margin_utf8, margin_single)
         for batch in batches:
             ids, restored, losses = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -358,7 +479,7 @@ def find_garbled(records: DataFrame, id_col: str = "id", text_col: str = "text",
                     restored.append(None if lost else read)
                     losses.append(lost)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(restored, pa.string()), pa.array(losses, pa.bool_())], names=["id", "restored", "lost"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(restored, pa.string()), pa.array(losses, pa.bool_()), pa.nulls(len(ids), pa.float64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.bool_()), pa.array([repairer.clean_gain])], names=names)
 
-    found = stage(_foreign(records, id_col, text_col).mapInArrow(run, "id string, restored string, lost boolean"), "p5-found")
-    return found.groupBy("id").agg(F.min("restored").alias("restored"), F.max("lost").alias("lost"))
+    return stage(rows.mapInArrow(run, "id string, restored string, lost boolean, gain double"), "p5-found")

@@ -247,3 +247,29 @@ def test_token_counts_match_the_tokenizer(spark):
     got = {r.doc_id: r.tokens for r in tokens.count_tokens(df, "doc_id", "text").collect()}
     assert got[1] == 2 and got[2] == got[3] == 0 and got[4] > 10
     assert tokens.count_tokens(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_single_byte_gains_in_arrays(repairer):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    signs = rng.integers(1, 0x10FFFF, (3, 500)).astype(np.uint64)
+    signs = signs[:, ((signs < 0xD800) | (signs > 0xDFFF)).all(0)]
+    assert encoding._buckets(*signs).tolist() == [encoding._bucket("".join(map(chr, t))) for t in signs.T.tolist()]
+    model, chains = repairer.model, repairer.chains
+    for forms in CLEAN.values():
+        for text in [forms[0].format(3), "x " + forms[0].format(5).upper(), forms[0].format(4).encode("utf-8").decode("cp1251", "replace")]:
+            if held := chains.to_single(text):
+                want = max(0.0, encoding._gain(model, text, held)[0])
+                assert abs(encoding._single_gain(model, chains, text, model.score(text)) - want) < 1e-4
+
+
+def test_margins_rest_on_all_passages(spark):
+    """One record of 3,001 holds the only clean passage that a single-byte chain makes likelier."""
+    text = CLEAN["ru"][0].format("")
+    other = text.encode("koi8-r").decode("cp1251")
+    rows = [(f"t{i}", text) for i in range(3000)] + [("one", "\n".join([other] * 40))]
+    report = {r.measure: r.value for r in encoding.margins(spark.createDataFrame(rows, "id string, text string").repartition(4)).collect()}
+    assert report["margin_single"] > encoding.MARGIN_SINGLE and report["passages"] > 3000
+    df = spark.createDataFrame(rows, "id string, text string").repartition(4)
+    assert encoding.find_garbled(df).count() == 0
