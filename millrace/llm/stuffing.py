@@ -117,7 +117,7 @@ class Lines:
     hash: np.ndarray
     letters: np.ndarray
     numeric: np.ndarray
-    frequent: np.ndarray  # words that fill much of their page
+    frequent: np.ndarray  # words of three letters or more that fill much of their page
 
     def sums(self, of_words: np.ndarray) -> np.ndarray:
         return np.bincount(self.line, of_words, len(self.page))
@@ -127,9 +127,10 @@ class Lines:
 
 
 class Reader:
-    """Cuts texts into lines with their features, all in arrays."""
+    """Cuts texts into lines with their features, all in arrays; ``frequent`` only with ``repeats``."""
 
-    def __init__(self) -> None:
+    def __init__(self, repeats: bool = True) -> None:
+        self.repeats = repeats
         signs = [chr(i) if not 0xD800 <= i < 0xE000 else " " for i in range(0x10000)]
         self.flags = np.zeros(0x10000, np.uint16)
         for flag, test in ((_ALNUM, str.isalnum), (_DIGIT, str.isdigit), (_SPACE, str.isspace), (_UPPER, str.isupper)):
@@ -295,15 +296,23 @@ class Reader:
 
         page = np.searchsorted(page_start, start, "right") - 1
         of = page[line]
-        _, inverse, counts = np.unique(word + of.astype(np.uint64) * _GOLD, return_inverse=True, return_counts=True)
-        need = np.maximum(3, 0.07 * np.bincount(of, minlength=len(marked)))
+        frequent = np.zeros(len(word), bool)
+        if self.repeats:
+            need = np.maximum(3, 0.07 * np.bincount(of, minlength=len(marked)))
+            telling = np.flatnonzero((letters > 2) & ~numeric)
+            key = word[telling] + of[telling].astype(np.uint64) * _GOLD
+            order = np.argsort(key)
+            key, telling = key[order], telling[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            counts = np.diff(head, append=len(key))
+            frequent[telling] = np.repeat(counts >= need[of[telling[head]]], counts)
 
         keep = size > 0
         place = np.cumsum(keep) - 1
         k = lambda x: x[keep]
         return Lines(
             len(marked), k(page), k(size), k(words), k(links), k(2 * closed + capital), k(np.bincount(line[numeric], minlength=n) / many), k(hashtags), k(seps),
-            k(coded & (hashtags == 0)), k(lead), k(sku), k(meta), k(menu), place[line], word, letters, numeric, counts[inverse] >= need[of],
+            k(coded & (hashtags == 0)), k(lead), k(sku), k(meta), k(menu), place[line], word, letters, numeric, frequent,
         )
 
 
@@ -352,9 +361,11 @@ def surely(lines: Lines, glue: np.ndarray, lexicon: np.ndarray | None = None) ->
     among = _among(lines.hash, glue)
     held, repeated, size = lines.share(among), _repeated(lines, among), lines.size
     telling = (lines.letters > 3) & ~among
-    key, counts = np.unique(lines.hash[telling] + lines.line[telling].astype(np.uint64) * _GOLD, return_index=True, return_counts=True)[1:]
     again = np.zeros(len(size), bool)
-    again[lines.line[telling][key[counts > 1]]] = True
+    key = lines.hash[telling] + lines.line[telling].astype(np.uint64) * _GOLD
+    order = np.argsort(key)
+    key = key[order]
+    again[lines.line[telling][order[1:][key[1:] == key[:-1]]]] = True
     listed = np.zeros(len(size), bool)
     if lexicon is not None:
         listed = (repeated >= 0.4) & (lines.share(lexicon[(lines.hash & np.uint64(BUCKETS - 1)).astype(np.int64)]) >= 0.8)
@@ -472,7 +483,7 @@ def _chunks(texts: list[str]) -> Iterator[slice]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (h, n): on how many pages each word stands in a sentence; h 0 counts the pages."""
-    read, held, pages = Reader(), [], 0
+    read, held, pages = Reader(repeats=False), [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
         h, n = (np.concatenate(x) for x in zip(*held))

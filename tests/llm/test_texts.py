@@ -273,3 +273,16 @@ def test_margins_rest_on_all_passages(spark):
     assert report["margin_single"] > encoding.MARGIN_SINGLE and report["passages"] > 3000
     df = spark.createDataFrame(rows, "id string, text string").repartition(4)
     assert encoding.find_garbled(df).count() == 0
+
+
+def test_frequent_words_are_those_that_fill_their_page():
+    import numpy as np
+
+    texts = ["Red shoes, red hats, red bags and 17 17 17 red coats. The end of it all.", "", "one two three four five", "Blue car blue car blue car of of of of"]
+    lines = stuffing.Reader()(texts)
+    telling = (lines.letters > 2) & ~lines.numeric
+    of = lines.page[lines.line]
+    pairs = list(zip(of.tolist(), lines.hash.tolist()))
+    want = [pairs.count(p) >= max(3, 0.07 * (of == p[0]).sum()) for p in pairs]
+    assert lines.frequent[telling].tolist() == np.array(want)[telling].tolist() and lines.frequent.sum() == 10
+    assert not stuffing.Reader(repeats=False)(texts).frequent.any()
